@@ -97,7 +97,7 @@ def sampled_by_order() -> Column:
     """Whether a document comes before the cut of its source; needs ``prefix``, ``key`` and ``doc_id``."""
     first = F.lit(-(1 << 63))
     inside = (F.col("key") < F.col("last.key")) | ((F.col("key") == F.col("last.key")) & (F.coalesce(F.col("doc_id"), first) <= F.coalesce(F.col("last.doc_id"), first)))
-    return F.coalesce((F.col("prefix") < F.col("cut")) | ((F.col("prefix") == F.col("cut")) & inside), F.col("cut").isNull() & (F.col("target") < 0))
+    return F.coalesce((F.col("prefix") < F.col("cut")) | ((F.col("prefix") == F.col("cut")) & inside), F.lit(False))
 
 
 def copies() -> Column:
