@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,7 +89,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    found = df.sparkSession.read.schema(schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def drop(found: DataFrame) -> None:
+    """Deletes a table of :func:`written` that nothing reads any more, and lets Spark delete shuffle files that no plan holds."""
+    delete(found.sparkSession, found.written_to)
+    gc.collect()
+    found.sparkSession.sparkContext._jvm.System.gc()
 
 
 def column_name(df: DataFrame, stem: str) -> str:
