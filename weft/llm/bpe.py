@@ -151,7 +151,7 @@ def _mapped(df: DataFrame, rank_file: str, pattern: str, id_column: str, text_co
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text or "")
                 made.append(make(ids, own.decode(ids)))
-            columns = [list(c) for c in zip(*made, strict=True)] or [[] for _ in names[1:]]
+            columns = list(zip(*made, strict=True)) or [() for _ in names[1:]]
             kinds = kinds or {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), *(pa.array(c, kinds.get(n, pa.string())) for c, n in zip(columns, names[1:], strict=True))], names=names

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code units that separate words: space and U+0009 to U+000D, which is also what
@@ -109,5 +109,6 @@ def column_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def long_id(df: DataFrame, name: str = "doc_id") -> F.Column:
-    return df[name].cast("long")
+def row_of(df: DataFrame) -> Column:
+    """A row's columns as a struct, to be carried along whatever their names."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns))

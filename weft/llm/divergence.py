@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_batches, texts, written
+from .common import SPACES, map_batches, row_of, texts, written
 
 # Frequent function words of the languages, in natural order of frequency lists.
 COMMON_WORDS = {
@@ -106,8 +106,8 @@ FEATURES = (
 )
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """:func:`counts` of every whole text of ``docs`` (doc_id, text, lang), with its id and language."""
+def features(docs: DataFrame, carried: bool = False) -> DataFrame:
+    """:func:`counts` of every whole text of ``docs`` (doc_id, text, lang), with its id and language, and if ``carried`` the row itself as ``doc``."""
     index = {lang: {w.encode(): i for i, w in enumerate(words[:N_WORDS])} for lang, words in COMMON_WORDS.items()}
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
     names = [c.split()[0] for c in FEATURES.split(", ")]
@@ -117,9 +117,11 @@ def features(docs: DataFrame) -> DataFrame:
             langs = batch.column(1).to_pylist()
             made = [counts(raw, index.get(lang, {})) for raw, lang in zip(texts(batch.column(2)), langs, strict=True)]
             columns = list(zip(*made, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            own = [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays([*own, batch.column(3)] if carried else own, names=[*names, "doc"] if carried else names)
 
-    return map_batches(docs.select(docs["doc_id"].cast("long"), docs["lang"].cast("string"), docs["text"].cast("string")), run, FEATURES)
+    source = docs.select(docs["doc_id"].cast("long"), docs["lang"].cast("string"), docs["text"].cast("string"), *([row_of(docs).alias("doc")] if carried else []))
+    return map_batches(source, run, f"{FEATURES}, doc {source.schema['doc'].dataType.simpleString()}" if carried else FEATURES)
 
 
 def _summed(column: str, n: int) -> Column:
@@ -155,7 +157,12 @@ def distance(a: str, b: str, n: int) -> Column:
     return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(summed, F.lit(0.0))))
 
 
-def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents that :func:`judged` keeps, with their columns; rows are judged each, so ids needn't be unique."""
+    return judged(docs, rules, carried=True).where("kept").select("doc.*")
+
+
+def judged(docs: DataFrame, rules: Rules = Rules(), carried: bool = False) -> DataFrame:
     """The verdict on every document: ``doc_id``, the base counts, ``base_failed``, both distances and ``kept``.
 
     Null texts have no words and fail the base rules. Documents of a null or unknown language are compared with the documents of
@@ -163,7 +170,7 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     Where no document of a language passes the base rules there is no reference, and distances are null. A null distance or a text below a
     test's minimum length never rejects. Repeated rows are judged each; an empty table gives no rows.
     """
-    found = written(features(docs), "features")
+    found = written(features(docs, carried), "features")
     ref = written(references(found, rules), "references")  # a few rows: Spark broadcasts them if they are small
     both = found.join(ref.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     for c in ("classes", "words", "ref_classes", "ref_words"):
@@ -176,5 +183,6 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     far = F.coalesce(class_far, F.lit(False)) | F.coalesce(words_far, F.lit(False))
     failed = base_failed(rules)
     return both.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance",
+        *(["doc"] if carried else []),
+    )

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, column_name, written
+from .common import WORD_PATTERN, column_name, row_of, written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     parameters = mix_parameters(written(sizes(docs, seed), "sizes"), weights, epochs)
     row = column_name(docs, "mix_row")
     doc_id = F.col(f"{row}.doc_id").cast("long")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
+    packed = docs.select(row_of(docs).alias(row))
     keyed = packed.select(
         row, doc_id.alias("doc_id"), F.col(f"{row}.source").cast("string").alias("source"), word_count(F.col(f"{row}.text")).alias("size"), document_key(doc_id, seed).alias("key")
     ).withColumn("prefix", F.substring("key", 1, PREFIX))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Each module has QUERIES (name to function) and may have ORACLE_SQL (name to SQL).
-MODULES = ["query_substrings", "query_mixing", "query_gif", "query_token_files", "query_simhash", "query_divergence", "query_html", "query_bpe"]
+MODULES = [
+    "query_licenses", "query_substrings", "query_mixing", "query_gif", "query_ngram", "query_token_files", "query_simhash", "query_divergence", "query_html", "query_bpe",
+]
 
 
 def _modules() -> list:

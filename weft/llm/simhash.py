@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts, written
+from .common import map_batches, row_of, texts, written
 from .components import components
 
 BITS = 64
@@ -233,6 +233,15 @@ def near_edges(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return map_batches(split.repartition("run", "value", "a", "b"), run, "u long, v long")
 
 
+def _component_ids(found: DataFrame, budget: int) -> DataFrame:
+    """``fp``, ``root`` (the least fingerprint of its component) and ``component_id`` of every fingerprint in ``found``."""
+    first = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    near = components(near_edges(first.select("fp"), budget))
+    rooted = written(first.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least-ids")
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "component-ids")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 lower-case hexadecimal digits) and ``component_id`` of every document.
 
@@ -241,9 +250,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
     are grouped first. Repeated rows stay; an empty table gives no rows; other columns are not read.
     """
     found = written(fingerprints(docs, width), "fingerprints")
-    first = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    near = components(near_edges(first.select("fp"), budget))
-    rooted = written(first.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
-    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least-ids")
-    of = written(rooted.join(least, "root").select("fp", "component_id"), "component-ids")
+    of = _component_ids(found, budget)
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """One document of each component, with its columns: that of the smallest id (null last), of repeated ids any one row."""
+    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_of(docs).alias("doc"))
+    rows = written(packed.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text", "doc"), "numbered")
+    found = written(_carrying_place(rows, width), "fingerprints")
+    of = _component_ids(found.select("doc_id", "fp"), budget)
+    chosen = found.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("c"))
+    chosen = written(chosen.select(F.col("c.place").alias("place")), "chosen")
+    return rows.join(chosen, "place", "left_semi").select("doc.*")
+
+
+def _carrying_place(rows: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(raw, width) for raw in texts(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["place", "doc_id", "fp"])
+
+    return map_batches(rows.select("place", "doc_id", "text"), run, "place long, doc_id long, fp long")
