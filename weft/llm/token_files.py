@@ -1,8 +1,8 @@
-"""Token ids as flat binary files: unsigned 32-bit ids, 64-bit document offsets, partition bases by prefix sums.
+"""Token ids as flat binary files: unsigned ids, 64-bit document offsets, partition bases by prefix sums.
 
 Documents are dealt by ranges of their id, so that files in the order of their partitions hold documents in ascending
-order. A task writes one pair of files: ``NAME.ids`` with little-endian unsigned 32-bit ids and ``NAME.idx`` with
-little-endian signed 64-bit integers, namely n + 1 offsets into the ids and then n document ids (null:
+order. A task writes one pair of files: ``NAME.ids`` with little-endian unsigned ids, of 16 bits if the vocabulary
+has at most 65,536 of them and else of 32, and ``NAME.idx`` with little-endian signed 64-bit integers, namely n + 1 offsets into the ids and then n document ids (null:
 the smallest integer). A name holds the partition and a random part, so a task that runs twice never
 overwrites a file; the manifest has the files of the tasks that count. A file's base, the ids in all files before it, is a prefix sum over
 the manifest, which has one row per file.
@@ -30,7 +30,7 @@ from .common import map_batches
 from .pretokens import Encoder
 
 NO_ID = -(1 << 63)
-_MANIFEST = "partition int, name string, n_docs long, n_tokens long"
+_MANIFEST = "partition int, name string, kind string, n_docs long, n_tokens long"
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -53,21 +53,24 @@ class TokenizerEncoder:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.encoder = None
         if spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]:
             character = dict(enumerate(byte_characters()))
             tokenize = self.tokenizer.model.tokenize
 
+            code = "H" if self.kind == "<u2" else "I"
+
             def encode_one(pretoken: str) -> bytes:
                 found = tokenize(pretoken.encode().decode("latin-1").translate(character))
-                return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                return struct.pack(f"<{len(found)}{code}", *[t.id for t in found])
 
             self.encoder = Encoder(regex.compile(pattern).findall, encode_one)
 
     def encode(self, text: str) -> bytes:
         if self.encoder:
             return self.encoder.encode(text)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 _encoders: dict[tuple[str, str], TokenizerEncoder] = {}
@@ -88,7 +91,6 @@ def write_token_files(
     Null ids come first, repeated ids follow one another; other columns are not read. Returns the manifest, one
     entry per file with ``base``, and writes it to ``folder`` as well. An empty table gives an empty manifest.
     """
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sizes, ids, partition = None, [], [], TaskContext.get().partitionId()
@@ -100,11 +102,12 @@ def write_token_files(
                 continue
             if out is None:
                 own = encoder(tokenizer_file, pattern)
+                end = np.array([end_id], own.kind).tobytes()
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.ids")
             made = [own.encode(t or "") + end for t in batch.column(1).to_pylist()]
             out.write(b"".join(made))
-            sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // 4)
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // len(end))
             ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
@@ -113,7 +116,7 @@ def write_token_files(
         with fs.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(offsets.tobytes() + np.concatenate(ids).tobytes())
         yield pa.RecordBatch.from_pydict(
-            {"partition": pa.array([partition], pa.int32()), "name": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]}
+            {"partition": pa.array([partition], pa.int32()), "name": [name], "kind": [own.kind], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]}
         )
 
     rows = df.select(df[id_column].cast("long").alias("id"), df[text_column].cast("string").alias("text"))
@@ -133,7 +136,7 @@ def write_token_files(
 class TokenFile:
     """A file of ids and its offsets, memory-mapped; files of a remote store are copied to a local file first."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, kind: str):
         fs, root = _open(folder)
         self.copies = []
 
@@ -149,7 +152,7 @@ class TokenFile:
 
         index = mapped("idx", "<i8")
         n = len(index) // 2
-        self.offsets, self.doc_ids, self.ids = index[: n + 1], index[n + 1 :], mapped("ids", "<u4")
+        self.offsets, self.doc_ids, self.ids = index[: n + 1], index[n + 1 :], mapped("ids", kind)
 
     def __getitem__(self, k: int) -> np.ndarray:
         """The ids of the file's k-th document."""
@@ -161,12 +164,12 @@ class TokenFile:
 
 
 def read_token_digests(spark: SparkSession, folder: str, files: list[dict], id_column: str = "doc_id") -> DataFrame:
-    """What the files hold, per document: its id, ``start``, ``n_tokens`` and ``ids_crc32``."""
+    """What the files hold, per document: its id, ``start``, ``n_tokens`` and ``ids_crc32`` (over the ids as little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                f = TokenFile(folder, row["name"])
+                f = TokenFile(folder, row["name"], row["kind"])
                 for at in range(0, row["n_docs"], 4096):
                     to = min(at + 4096, row["n_docs"])
                     ids = f.doc_ids[at:to]
@@ -175,11 +178,11 @@ def read_token_digests(spark: SparkSession, folder: str, files: list[dict], id_c
                             pa.array(ids, pa.int64(), mask=ids == NO_ID),
                             pa.array(f.offsets[at:to] + row["base"], pa.int64()),
                             pa.array(np.diff(f.offsets[at : to + 1]), pa.int64()),
-                            pa.array([zlib.crc32(f[k].tobytes()) for k in range(at, to)], pa.int64()),
+                            pa.array([zlib.crc32(f[k].astype("<u4").tobytes()) for k in range(at, to)], pa.int64()),
                         ],
                         names=[id_column, "start", "n_tokens", "ids_crc32"],
                     )
                 f.close()
 
-    rows = spark.createDataFrame([(f["name"], f["n_docs"], f["base"]) for f in files], "name string, n_docs long, base long")
+    rows = spark.createDataFrame([(f["name"], f["kind"], f["n_docs"], f["base"]) for f in files], "name string, kind string, n_docs long, base long")
     return map_batches(rows.repartition(max(1, len(files))), run, f"{id_column} long, start long, n_tokens long, ids_crc32 long")
