@@ -6,9 +6,10 @@ until no target is above its cap. With the sources in the order of cap over weig
 (target over weight) of those below their cap has a closed form, so no loop is needed.
 
 A target is met by whole repetitions of all documents of the source and a sample for the rest: documents are ordered by
-a seeded digest of their id and taken while their words fit in what is left; then the one document whose size fits
-best what is still missing is taken as well, if it brings the words nearer to the target. The place where the order is cut is found
-in two steps, words by digest prefix and then documents of a single prefix, so that no source is ever sorted as a whole.
+a seeded digest of their id and taken while their words fit in what is left. What is then still missing is filled with
+further documents, the largest first, out of one per size class and digest group: some hundred candidates per source at most. The
+place where the order is cut is found in two steps, words by digest prefix and then documents of a single prefix, so that no source
+is ever sorted as a whole.
 
 DataFrame functions only; the documents themselves are never shuffled, only one row per source meets them.
 """
@@ -60,7 +61,7 @@ def mix_parameters(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     """One row per source: ``source``, ``source_size``, ``target``, ``whole`` repetitions, and which documents are sampled on top.
 
     ``sized`` has ``doc_id``, ``source``, ``size`` and ``key``. Sampled are documents whose (key, doc_id) is at most
-    ``last``, and those whose (key, doc_id, size) is ``extra``.
+    ``last``, and those whose (key, doc_id, size) is among ``extra``.
     """
     base = source_targets(sized, weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -80,9 +81,16 @@ def mix_parameters(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     base = base.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     missing = F.col("rest") - F.coalesce(F.col("last.upto"), F.col("before"), F.lit(0))
     base = written(base.withColumn("missing", missing), "lasts")
-    left = _with_source(sized.withColumn("prefix", prefix), base).where(~sampled_by_order() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    extra = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "size")).alias("extra"))
+    left = _with_source(sized.withColumn("prefix", prefix), base).where(~sampled_by_order() & (F.col("size") > 0) & (F.col("size") <= F.col("missing")))
+    candidates = left.groupBy("source", size_class().alias("class"), F.substring("key", 32, 1).alias("group")).agg(F.min(F.struct("key", "doc_id", "size")).alias("c"), F.first("missing").alias("missing"))
+    listed = candidates.groupBy("source").agg(F.first("missing").alias("missing"), F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("order"), "c.key", "c.doc_id", "c.size"))).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    picked = F.aggregate(
+        "all", F.struct(F.col("missing").alias("missing"), none.alias("picked")),
+        lambda acc, x: F.when(x["size"] <= acc["missing"], F.struct((acc["missing"] - x["size"]).alias("missing"), F.concat(acc["picked"], F.array(x)).alias("picked"))).otherwise(acc),
+        lambda acc: acc["picked"],
+    )
+    extra = listed.select("source", picked.alias("extra"))
     base = base.join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     return written(base.select("source", "source_size", "target", "whole", "cut", "last", "extra"), "mix")
 
@@ -93,6 +101,12 @@ def _with_source(rows: DataFrame, base: DataFrame) -> DataFrame:
     return rows.join(of, rows["source"].eqNullSafe(of["_source"])).drop("_source")
 
 
+def size_class() -> Column:
+    """Sizes by number of digits and first digit."""
+    digits = F.col("size").cast("string")
+    return F.concat(F.length(digits).cast("string"), F.substring(digits, 1, 1))
+
+
 def sampled_by_order() -> Column:
     """Whether a document comes before the cut of its source; needs ``prefix``, ``key`` and ``doc_id``."""
     first = F.lit(-(1 << 63))
@@ -102,7 +116,7 @@ def sampled_by_order() -> Column:
 
 def copies() -> Column:
     """How often the mix takes a document, by the columns of :func:`mix_parameters` and ``prefix``, ``key``, ``doc_id`` and ``size``."""
-    is_extra = (F.col("key") == F.col("extra.key")) & F.col("doc_id").eqNullSafe(F.col("extra.doc_id")) & (F.col("size") == F.col("extra.size"))
+    is_extra = F.exists("extra", lambda e: (F.col("key") == e["key"]) & F.col("doc_id").eqNullSafe(e["doc_id"]) & (F.col("size") == e["size"]))
     return F.col("whole") + F.when(sampled_by_order() | F.coalesce(is_extra, F.lit(False)), 1).otherwise(0)
 
 
@@ -145,7 +159,7 @@ def oracle(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, epochs:
     """DuckDB SQL for :func:`mixed_sizes`, with plain windows over whole sources."""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return f"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
          md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM {table}),
@@ -169,11 +183,19 @@ risen AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id) AS upto
   FROM sized d JOIN base b ON d.source IS NOT DISTINCT FROM b.source),
 cut AS (SELECT *, max(CASE WHEN upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS had FROM risen),
-extra AS (
-  SELECT source, min(struct_pack(o := abs(size - (rest - had)), k := key, i := doc_id, z := size)) AS e
-  FROM cut WHERE upto > rest AND size > 0 AND size < 2 * (rest - had) GROUP BY source)
-SELECT c.doc_id, c.size, c.source_size, c.target,
-       CAST(c.size * (c.whole + CASE WHEN c.upto <= c.rest OR coalesce(c.key = e.e.k AND c.size = e.e.z, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(c.whole + CASE WHEN c.upto <= c.rest OR coalesce(c.key = e.e.k AND c.size = e.e.z, false) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM cut c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source
+candidate AS (
+  SELECT source, any_value(rest - had) AS missing, min(struct_pack(k := key, i := doc_id, z := size)) AS c
+  FROM cut WHERE upto > rest AND size > 0 AND size <= rest - had
+  GROUP BY source, length(CAST(size AS VARCHAR)) || substr(CAST(size AS VARCHAR), 1, 1), substr(key, 32, 1)),
+listed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c.z DESC, c.k, c.i NULLS FIRST) AS n FROM candidate),
+filled(source, n, missing, picked, c) AS (
+  SELECT source, CAST(0 AS BIGINT), missing, false, c FROM listed WHERE n = 1
+  UNION ALL
+  SELECT l.source, l.n, CASE WHEN l.c.z <= f.missing THEN f.missing - l.c.z ELSE f.missing END, l.c.z <= f.missing, l.c
+  FROM filled f JOIN listed l ON l.source IS NOT DISTINCT FROM f.source AND l.n = f.n + 1),
+extra AS (SELECT source, c FROM filled WHERE picked),
+marked AS (
+  SELECT c.*, c.whole + CASE WHEN c.source_size > 0 AND (c.upto <= c.rest OR e.c IS NOT NULL) THEN 1 ELSE 0 END AS times
+  FROM cut c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.key = e.c.k AND c.doc_id IS NOT DISTINCT FROM e.c.i AND c.size = e.c.z)
+SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken, CAST(times AS BIGINT) AS copies FROM marked
 """
