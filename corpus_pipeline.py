@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import gc
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.bpe import encode_documents
-from weft.llm.common import table, written
+from weft.llm.common import delete, made_since, n_made, table, written
 from weft.llm.divergence import kept_documents
 from weft.llm.mixing import mix
 from weft.llm.simhash import first_of_each
@@ -15,26 +19,51 @@ from weft.llm.substrings import remove_repeated
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+_left: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage; its input has been written, so the tables that the stage before it worked with go first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            delete(spark, _left.pop())
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that no plan holds
+        n = n_made()
+        out = f(spark, docs, sf_dir)
+        _left.extend(made_since(n))
+        return out
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
     return kept_documents(docs)
 
 
+@_stage
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints (3-word shingles, 2 bits, as the operator's query has them) the document of the smallest id stays."""
     return first_of_each(docs, width=3, budget=2)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start at more than one place are cut out of the texts."""
     return remove_repeated(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed at weights 5, 2, 1 and at most 3 epochs: a document appears as often as it is taken."""
     return mix(docs)
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and the bytes that they decode to."""
     return encode_documents(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)

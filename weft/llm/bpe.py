@@ -96,7 +96,7 @@ class Codec:
             ids = encode(pretoken.encode().decode("latin-1").translate(character))
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.encoder = Encoder(regex.compile(pattern).findall, encode_one)
+        self.encoder = Encoder(regex.compile(pattern).findall, encode_one, most=300_000)
         self.bytes_of = sorted(ranks, key=ranks.__getitem__)
 
     def encode(self, text: str) -> list[int]:

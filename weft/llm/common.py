@@ -81,6 +81,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made_since(n: int) -> list[str]:
+    """Paths of the tables that were written after the first ``n``."""
+    return [path for _, path in _written[n:]]
+
+
+def n_made() -> int:
+    return len(_written)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` written as Parquet in the shared folder and read back.
 
