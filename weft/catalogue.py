@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions.registry import Clock, call
 from .schema import Catalog
+from .sources.parquet import ParquetTables
 from .sync.protocol import Seen, live_changes, page, permission_hash, status
 
 NOW = 1_700_000_000
@@ -137,7 +138,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def engine(spark: SparkSession, sf_dir: str, schema: str | None = None) -> Engine:
-    return Engine(spark, schema or schema_text(), {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}, NOW)
+    return Engine(spark, schema or schema_text(), ParquetTables(spark, sf_dir, TABLES), NOW)
 
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +33,10 @@ class Engine:
     >>> engine.query('query Q { user { id name posts { title } } }')["user"].show()
     """
 
-    def __init__(self, spark: SparkSession, schema: str | Catalog, tables: dict[str, DataFrame], now: int = 0):
+    def __init__(self, spark: SparkSession, schema: str | Catalog, tables: Mapping[str, DataFrame], now: int = 0):
         self.spark = spark
         self.catalog = schema if isinstance(schema, Catalog) else Catalog(schema)
-        self.tables = dict(tables)
+        self.tables = ChainMap({}, tables)  # snapshots of mutations over the given tables
         self.clock = Clock(now)
 
     def source(self, table: Table) -> DataFrame:
@@ -85,7 +87,7 @@ class Engine:
         return Mutator(self.spark, self.planner(self._bound(query, params), session)).run(query)
 
     def apply(self, mutation: Mutation) -> None:
-        self.tables |= mutation.tables
+        self.tables.update(mutation.tables)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
