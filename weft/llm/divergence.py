@@ -63,7 +63,7 @@ def _class_table() -> bytes:
 
 
 _CLASSES = _class_table()
-_SYMBOLS = b"[#*$%&|<>]"
+_SYMBOLS = b"#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -186,3 +186,51 @@ def judged(docs: DataFrame, rules: Rules = Rules(), carried: bool = False) -> Da
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance",
         *(["doc"] if carried else []),
     )
+
+
+def oracle(table: str = "documents", rules: Rules = Rules()) -> str:
+    """DuckDB SQL for the columns of :func:`judged` but the distances."""
+    words = ", ".join(f"('{lang}', '{w}', {i})" for lang, many in COMMON_WORDS.items() for i, w in enumerate(many[:N_WORDS]))
+    classes = ["[a-z]", "[A-Z]", "[0-9]", r"\x20", r"[\x09-\x0D]", r"""[.,;:!?''"()\-]""", r"""[#$%&*+/<=>@\[\\\]^_`{|}~]""", r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\x00-\x7F]"]
+    counted = ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in classes)
+
+    def js(mine: str, ref: str) -> str:
+        part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+        return f"sqrt(greatest(sum(({part.format(mine, ref)} + {part.format(ref, mine)}) / 2), 0))"
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, lang FROM {table}),
+split AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM docs),
+word AS (SELECT r, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+three AS (
+  SELECT r, i, w, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM word WINDOW s AS (PARTITION BY r ORDER BY i)),
+often AS (SELECT r, unnest(list(i)) AS i FROM three WHERE w3 IS NOT NULL GROUP BY r, w, w2, w3 HAVING count(*) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM often, range(3) t(k) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM docs),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+base AS (
+  SELECT s.r, s.doc_id, s.lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, [{counted}] AS classes
+  FROM split s LEFT JOIN dup d USING (r) LEFT JOIN repeated p USING (r)),
+judged AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeated_percent} * n_words AS base_failed FROM base),
+common(lang, w, bin) AS (VALUES {words}),
+bins AS (
+  SELECT x.r, coalesce(c.bin, {N_WORDS}) AS bin, count(*) AS n
+  FROM word x LEFT JOIN common c ON c.lang = x.lang AND c.w = translate(x.w, '{upper}', '{lower}') GROUP BY x.r, coalesce(c.bin, {N_WORDS})),
+hist AS (
+  SELECT 'c' AS kind, r, k AS bin, CAST(classes[k + 1] AS DOUBLE) AS n FROM judged, range({N_CLASSES}) t(k)
+  UNION ALL
+  SELECT 'w', j.r, k, CAST(coalesce(b.n, 0) AS DOUBLE) FROM judged j CROSS JOIN range({N_WORDS + 1}) t(k) LEFT JOIN bins b ON b.r = j.r AND b.bin = k),
+ref AS (SELECT kind, lang, bin, sum(n) AS n FROM hist JOIN judged USING (r) WHERE NOT base_failed GROUP BY kind, lang, bin),
+mine AS (SELECT kind, r, bin, n / nullif(sum(n) OVER (PARTITION BY kind, r), 0) AS p FROM hist),
+theirs AS (SELECT kind, lang, bin, n / nullif(sum(n) OVER (PARTITION BY kind, lang), 0) AS q FROM ref),
+distance AS (
+  SELECT m.kind, m.r, {js("p", "q")} AS d
+  FROM mine m JOIN judged j USING (r) JOIN theirs t ON t.kind = m.kind AND t.lang IS NOT DISTINCT FROM j.lang AND t.bin = m.bin GROUP BY m.kind, m.r)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(word_chars >= {rules.min_class_chars} AND c.d > {rules.max_class_distance}, false)
+         AND NOT coalesce(n_words >= {rules.min_common_words} AND w.d > {rules.max_word_distance}, false) AS kept
+FROM judged j LEFT JOIN distance c ON c.r = j.r AND c.kind = 'c' LEFT JOIN distance w ON w.r = j.r AND w.kind = 'w'
+"""
