@@ -27,25 +27,32 @@ def pieces(text: str) -> list[str] | None:
 
 
 class _Known(dict):
-    """What pieces encode to; a missing one is encoded on the spot."""
+    """What pieces encode to; a missing one is taken from the generation before, or encoded on the spot."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        super().__init__({"": b""})
+        super().__init__()
         self.make = make
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = found = self.make(piece)
+        found = self.before.get(piece)
+        self[piece] = found = self.make(piece) if found is None else found
         return found
 
+    def turn(self) -> None:
+        """Starts a new generation; pieces that nothing asks for until the next one are forgotten."""
+        self.before = dict(self)
+        self.clear()
+
 
 class Encoder:
-    """Encodes texts to ids, kept as little-endian unsigned 32-bit integers.
+    """Encodes texts to ids, kept as bytes of unsigned integers.
 
-    ``encode_one`` takes a pre-token and returns its ids in that form. About ``most`` pieces are remembered; a full
-    cache is emptied between texts, which costs time but changes no result.
+    ``encode_one`` takes a pre-token and returns its ids in that form. About ``most`` pieces and pre-tokens are remembered in each of
+    two generations; what is forgotten is encoded again, which costs time but changes no result.
     """
 
-    def __init__(self, findall: Callable[[str], list[str]], encode_one: Callable[[str], bytes], most: int = 600_000):
+    def __init__(self, findall: Callable[[str], list[str]], encode_one: Callable[[str], bytes], most: int = 150_000):
         self.findall, self.most = findall, most
         self.of_pretoken = _Known(encode_one)
         self.of_piece = _Known(lambda p: b"".join(map(self.of_pretoken.__getitem__, findall(p))))
@@ -54,7 +61,7 @@ class Encoder:
         """The ids of a whole text."""
         for known in (self.of_piece, self.of_pretoken):
             if len(known) > self.most:
-                known.clear()
+                known.turn()
         cut = pieces(text)
         if cut is None:
             return b"".join(map(self.of_pretoken.__getitem__, self.findall(text)))
