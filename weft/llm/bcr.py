@@ -166,10 +166,17 @@ def build(strings: list[bytes], cap: int, folder: str | None = None) -> tuple[np
             live, came, symbol, nth, smaller = (x[by_order] for x in (live, came, symbol, nth, smaller))
             at = n + smaller + nth
             shared = np.zeros((2, len(live)), np.uint8)
-            back, on = np.flatnonzero(nth > 0), np.flatnonzero(nth + 1 < counts.total[symbol])
-            near = counts.select(np.concatenate([nth[back] - 1, nth[on] + 1]), np.concatenate([symbol[back], symbol[on]]))
-            lo = np.concatenate([near[: len(back)], came[on]])
-            hi = np.concatenate([came[back], near[len(back) :]])
+            has_back, has_on = nth > 0, nth + 1 < counts.total[symbol]
+            # neighbours that are new themselves have come from known places; the others are looked up
+            beside = np.flatnonzero((np.diff(at) == 1) & (np.diff(symbol.astype(np.int16)) == 0))
+            from_back, from_on = np.full(len(live), -1), np.full(len(live), -1)
+            from_back[beside + 1], from_on[beside] = came[beside], came[beside + 1]
+            seek_back, seek_on = np.flatnonzero(has_back & (from_back < 0)), np.flatnonzero(has_on & (from_on < 0))
+            near = counts.select(np.concatenate([nth[seek_back] - 1, nth[seek_on] + 1]), np.concatenate([symbol[seek_back], symbol[seek_on]]))
+            from_back[seek_back], from_on[seek_on] = near[: len(seek_back)], near[len(seek_back) :]
+            back, on = np.flatnonzero(has_back), np.flatnonzero(has_on)
+            lo = np.concatenate([from_back[back], came[on]])
+            hi = np.concatenate([came[back], from_on[on]])
             least = np.minimum(_range_minima(prefixes, lo + 1, hi), cap - 1) + 1
             shared[0, back], shared[1, on] = least[: len(back)], least[len(back) :]
             coming = np.where(sizes[live] > done, symbols[np.maximum(ends[live] - done - 1, 0)], none).astype(np.uint8)

@@ -5,12 +5,12 @@ A byte goes if it lies in a string of ``length`` bytes that starts at another pl
 1. Texts are cut into pieces at content-defined anchors (:mod:`.windows`): equal strings of ``length`` bytes lie in pieces of one
    key. Keys that occur once need nothing more, and where all pieces of a key hold the same bytes all their
    strings are repeated.
-2. Keys whose pieces differ, as near edits and at the ends of shared passages, go to the construction (:mod:`.bcr`) with one piece
-   of each kind. A task takes whole keys, some thousand pieces at a time, and inserts one symbol of each
-   per round; neighbours in the final order that share ``length`` bytes are repeated strings.
-3. A key with very many kinds of pieces is split by where its strings lie around the anchor: a string reaches at least half of the
-   free bytes to the left or else to the right, which adds those bytes to the key. Halving goes on until groups are small, or
-   until the key is the whole string.
+2. Keys whose pieces differ, as near edits and at the ends of shared passages, keep one piece of each kind and are split by where
+   their strings lie around the anchor: a string reaches at least half of the free bytes to the left or else to the right, which
+   adds those bytes to the key. Halves that are alone under their key hold nothing repeated. A key that still has very many
+   kinds is halved again, until groups are small or the key is the whole string.
+3. The rest goes to the construction (:mod:`.bcr`). A task takes whole keys, some thousand pieces at a time, and inserts one
+   symbol of each per round; neighbours in the final order that share ``length`` bytes are repeated strings.
 
 What meets in a task is bounded in this way; counting and grouping are aggregations. Every step is a table in the shared folder.
 """
@@ -32,7 +32,7 @@ from .windows import pieces
 
 LENGTH = 200
 #: Bytes of the substrings whose hashes choose anchors.
-GRAM = 64
+GRAM = 80
 #: A key with more kinds of pieces than this is split.
 HEAVY = 1000
 #: Pieces whose columns are constructed together, but for a key that has more.
@@ -96,45 +96,52 @@ _PIECE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.i
 _PIECE_NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 
 
+def _halves(p: tuple, length: int, gram: int) -> Iterator[tuple]:
+    """A piece in the columns of ``_PIECE``, split by where its strings lie around the anchor.
+
+    The key of a half has the stretch that all its strings share: the anchor, and the free bytes that each of them reaches at least.
+    """
+    key, low, high, copies, doc_id, row, first, starts, anchor, raw = p
+    middle = (low + high + 1) // 2
+    for lo, hi in ((low, middle - 1), (middle, high)):
+        a, b = max(0, anchor - hi), min(starts - 1, anchor - lo)  # the first and last start in this half
+        if a <= b:
+            core = raw[anchor - lo : anchor + length - hi]
+            half = xxhash.xxh3_64_intdigest(core, (key ^ lo << 32 ^ hi) & 0xFFFFFFFFFFFFFFFF)
+            yield half - ((half >> 63) << 64), lo, hi, copies, doc_id, row, first + a, b - a + 1, anchor - a, raw[a : b + length]
+
+
+def _piece_batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
+
+
 def _with_bytes(rows: DataFrame, kinds: DataFrame, length: int, gram: int) -> DataFrame:
-    """One piece of each kind, with its bytes, from the text that it was met in. ``low`` and ``high`` bound how far its strings begin before the anchor."""
+    """One piece of each kind, with its bytes, from the text that it was met in, in halves. ``low`` and ``high`` bound how far its strings begin before the anchor."""
     wanted = kinds.groupBy("id", "row").agg(F.collect_list(F.struct("key", "copies", "first", "span")).alias("wanted"))
     met = rows.join(wanted.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for doc_id, row, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for w in wanted:
-                    starts, anchor = w["span"] >> 16, w["span"] & 0xFFFF
-                    out.append((w["key"], 0, length - gram, w["copies"], doc_id, row, w["first"], starts, anchor, raw[w["first"] : w["first"] + starts + length - 1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
+                    starts, first = w["span"] >> 16, w["first"]
+                    piece = (w["key"], 0, length - gram, w["copies"], doc_id, row, first, starts, w["span"] & 0xFFFF, raw[first : first + starts + length - 1])
+                    out += _halves(piece, length, gram)
+            yield from _piece_batch(out)
 
     # equal rows of the table would give the same pieces again
     return map_batches(met.select("id", "row", "text", "wanted").dropDuplicates(["id", "row"]), run, _PIECE)
 
 
 def _halved(heavy: DataFrame, length: int, gram: int) -> DataFrame:
-    """Pieces of heavy keys, split by where their strings lie around the anchor, with the longer stretch that all strings of a half share in the key."""
-    free = length - gram
+    """Pieces of heavy keys in halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for p in batch.to_pylist():
-                raw, anchor = p["bytes"], p["anchor"]
-                middle = (p["low"] + p["high"] + 1) // 2
-                for low, high in ((p["low"], middle - 1), (middle, p["high"])):
-                    a, b = max(0, anchor - high), min(p["starts"] - 1, anchor - low)  # the first and last start in this half
-                    if a > b:
-                        continue
-                    core = raw[anchor - low : anchor + gram + free - high]
-                    key = xxhash.xxh3_64_intdigest(core, (p["key"] ^ low << 32 ^ high) & 0xFFFFFFFFFFFFFFFF)
-                    key -= (key >> 63) << 64
-                    out.append((key, low, high, p["copies"], p["id"], p["row"], p["first"] + a, b - a + 1, anchor - a, raw[a : b + length]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
+            columns = [batch.column(n).to_pylist() for n in _PIECE_NAMES]
+            yield from _piece_batch([h for p in zip(*columns, strict=True) for h in _halves(p, length, gram)])
 
     return map_batches(heavy, run, _PIECE)
 
