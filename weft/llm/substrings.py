@@ -38,7 +38,7 @@ HEAVY = 1000
 #: Pieces whose columns are constructed together, but for a key that has more.
 TOGETHER = 4000
 #: Window starts of a text that are hashed at a time.
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _NO_ID = -(1 << 63)
 
 
@@ -176,7 +176,9 @@ def _constructed(groups: DataFrame, length: int) -> DataFrame:
         if block:
             yield solve(block)
 
-    return map_batches(groups.repartition("key").sortWithinPartitions("key"), run, "id long, row long, first long, starts long")
+    # in proportion to the pieces: their bytes are few for the work they make
+    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // TOGETHER))
+    return map_batches(groups.repartition(tasks, "key").sortWithinPartitions("key"), run, "id long, row long, first long, starts long")
 
 
 def repeated_starts_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
