@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..lang.ast import Field
 from ..schema import Catalog
@@ -42,7 +41,3 @@ def union_json(catalog: Catalog, union: str, value: Column) -> Column:
         shown = F.struct(F.lit(v.name).alias("_type"), *(value[x.name].alias(x.name) for x in v.fields))
         out = F.when(value["_type"] == v.name, F.to_json(shown, {"ignoreNullFields": "false"})).otherwise(out)
     return out
-
-
-def sortable(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.MapType, T.VariantType))
