@@ -13,7 +13,7 @@ from weft.llm.bpe import encode_documents
 from weft.llm.common import delete, made_since, n_made, table, written
 from weft.llm.divergence import kept_documents
 from weft.llm.mixing import mix
-from weft.llm.simhash import first_of_each
+from weft.llm.simhash import first_of_near_copies
 from weft.llm.substrings import remove_repeated
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -47,8 +47,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints (3-word shingles, 2 bits, as the operator's query has them) the document of the smallest id stays."""
-    return first_of_each(docs, width=3, budget=2)
+    """Of each group of near copies (Jaccard similarity of at least 0.8 of 5-word shingles) the document of the smallest id stays."""
+    return first_of_near_copies(docs)
 
 
 @_stage
