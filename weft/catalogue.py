@@ -11,7 +11,7 @@ from .engine import Engine
 from .functions.registry import Clock, call
 from .schema import Catalog
 from .sources.parquet import ParquetTables
-from .sync.protocol import Seen, live_changes, page, permission_hash, status
+from .sync.protocol import Seen, live_blocks, live_changes, page, permission_hash, status
 
 NOW = 1_700_000_000
 _DENY = "@allow(insert, update, delete) { False }"
@@ -462,6 +462,17 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("live_deltas", f"SELECT CAST(s.i AS BIGINT) AS session_id, n.id FROM {_NOTES_SQL} n JOIN range(20) s(i) ON n.owner = s.i // 2 WHERE n.id <= 1000", _live)
 
 
+def _live_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _notes(spark, sf_dir)
+    sessions = spark.createDataFrame([(i, i // 2) for i in range(20)], "session_id long, userId long")
+    table = e.catalog.tables["note"]
+    found = live_blocks(e, table, e.source(table), sessions)
+    return found.select(F.explode("sessions").alias("session_id"), "keys").select("session_id", F.explode("keys").alias("id"))
+
+
+_add("live_deltas_all", f"SELECT CAST(s.i AS BIGINT) AS session_id, n.id FROM {_NOTES_SQL} n JOIN range(20) s(i) ON n.owner = s.i // 2", _live_all)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a segment with their nation and orders, nested."""
     text = 'query Q { customer { @where { c_mktsegment == "BUILDING" } @sort(c_custkey, Asc) c_custkey c_name nation { n_name } orders { o_orderkey o_totalprice o_orderstatus } } }'

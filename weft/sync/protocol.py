@@ -115,6 +115,34 @@ def live_changes(engine: Engine, table: Table, rows: DataFrame, sessions: DataFr
     """
     if sessions.limit(MOST_RECIPIENTS + 1).count() > MOST_RECIPIENTS or rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
         raise WeftError("SyncRequired", table.name)
+    met = _visible(engine, table, rows, sessions)
+    sets = met.groupBy(F.col("_s_session_id").alias("session_id")).agg(F.array_sort(F.collect_set(table.key)).alias("keys"))
+    return sets.groupBy("keys").agg(F.array_sort(F.collect_set("session_id")).alias("sessions")).select("sessions", "keys")
+
+
+def live_blocks(engine: Engine, table: Table, rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """:func:`live_changes` of any number of changed rows, in blocks of at most ``MOST_ROWS``: ``block``, ``sessions`` and ``keys``.
+
+    Blocks are dealt out by the key's hash, half full on average; if one has too many rows, there are twice as many. All blocks are
+    one plan. Changes of one key stay in one block; more of them than a block takes can't be sent.
+    """
+    if sessions.limit(MOST_RECIPIENTS + 1).count() > MOST_RECIPIENTS:
+        raise WeftError("SyncRequired", table.name)
+    n = max(1, -(-rows.count() * 2 // MOST_ROWS))
+    for _ in range(8):
+        dealt = rows.withColumn("_block", F.pmod(F.xxhash64(table.key), F.lit(n)))
+        if (dealt.groupBy("_block").count().agg(F.max("count")).first()[0] or 0) <= MOST_ROWS:
+            break
+        n *= 2
+    else:
+        raise WeftError("SyncRequired", table.name)
+    met = _visible(engine, table, dealt, sessions)
+    sets = met.groupBy("_block", F.col("_s_session_id").alias("session_id")).agg(F.array_sort(F.collect_set(table.key)).alias("keys"))
+    return sets.groupBy("_block", "keys").agg(F.array_sort(F.collect_set("session_id")).alias("sessions")).select(F.col("_block").alias("block"), "sessions", "keys")
+
+
+def _visible(engine: Engine, table: Table, rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows with each session that may see them; its fields have ``_s_`` in front."""
     permission = engine.catalog.permission(table, "query")
     named = sessions.select(*(F.col(c).alias(f"_s_{c}") for c in sessions.columns))
     if permission is None:
@@ -122,6 +150,4 @@ def live_changes(engine: Engine, table: Table, rows: DataFrame, sessions: DataFr
     else:
         ctx = Context(engine.catalog, table, lambda n: F.col(f"`{n}`"), mode="live", session_columns=lambda n: F.col(f"_s_{n}"))
         visible = compile_predicate(ctx, permission)
-    met = rows.join(F.broadcast(named), visible)
-    sets = met.groupBy(F.col("_s_session_id").alias("session_id")).agg(F.array_sort(F.collect_set(table.key)).alias("keys"))
-    return sets.groupBy("keys").agg(F.array_sort(F.collect_set("session_id")).alias("sessions")).select("sessions", "keys")
+    return rows.join(F.broadcast(named), visible)
