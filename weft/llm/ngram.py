@@ -1,101 +1,127 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model does.
 
-Both are bigram models over one vocabulary, the first ``VOCABULARY`` entries of a byte-level BPE rank file, which are a smaller BPE by
-themselves and encode any text. They are estimated alike: bigrams are smoothed by unigrams (Dirichlet prior) and these by a constant.
-The background is every document, the target the documents that are marked; counts come from all of
-them. A document's score is the mean over its tokens of target loss minus background loss, in nats: low is like the target.
+Both are n-gram models over one vocabulary, a byte-level BPE rank file or its first ``size`` entries, which are a smaller BPE by themselves
+and encode any text. They are estimated alike: n-grams are smoothed by the next shorter ones (Dirichlet prior), and unigrams by a
+constant. The background is every document, the target the documents that are marked; counts come from all of them. A document's
+score is the mean over its tokens of target loss minus background loss, in nats: low is like the target.
 
-Counting is an aggregation over all documents with partial sums in each task. A model has at most (V + 1) * V entries, 4.2 million
-for 2,048 tokens, whatever the size of the corpus: that bounds what the driver gathers and sends out (17 MB).
+Counts are tables that grow with the corpus: one row for each n-gram that occurs. As the background is every document, each n-gram of a
+document has a row; its losses are computed there, once, and joined to the documents' n-grams. The driver gathers two totals.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import drop, map_batches, written
+from .common import map_batches, written
 from .pretokens import Encoder
 
-VOCABULARY = 2048
 #: Weight of the unigram model in a bigram's context, in tokens, and the constant added to each unigram.
 PRIOR, ADDED = 32.0, 0.5
-_TOGETHER = 1 << 22
-_TAKE = 1 << 19
+_TOGETHER = 1 << 20
+#: Bits of a token in the number of an n-gram of up to three.
+_BITS = 21
+#: Documents are scored in so many slices, one after another, so that the n-grams of one slice alone wait on disk.
+SLICES = 8
 
 
-_encoders: dict[tuple[str, str, int], Encoder] = {}
+_encoders: dict[tuple[str, str, int | None], Encoder] = {}
 
 
-def encoder(rank_file: str, pattern: str, size: int = VOCABULARY) -> Encoder:
-    """Encodes texts by the first ``size`` ranks; made once in a worker."""
+def encoder(rank_file: str, pattern: str, size: int | None = None) -> Encoder:
+    """Encodes texts by the first ``size`` ranks (None: all); made once in a worker."""
     key = (rank_file, pattern, size)
     if key not in _encoders:
         import regex
         import tiktoken
 
-        ranks = {t: r for t, r in read_ranks(rank_file).items() if r < size}
+        ranks = {t: r for t, r in read_ranks(rank_file).items() if size is None or r < size}
         own = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         single = own._encode_single_piece if hasattr(own, "_encode_single_piece") else own.encode_ordinary
         _encoders[key] = Encoder(regex.compile(pattern).findall, lambda p: np.array(single(p), "<u4").tobytes())
     return _encoders[key]
 
 
-def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
-    """``doc_id``, ``is_target`` and ``ids`` (little-endian unsigned 16-bit integers) of every whole text; null is empty."""
+def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None) -> DataFrame:
+    """``place``, ``doc_id``, ``is_target``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole text; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
             own = own or encoder(rank_file, pattern, size)
-            ids = [np.frombuffer(own.encode(t or ""), "<u4").astype("<u2").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "is_target", "ids"])
+            ids = [own.encode(t or "") for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["place", "doc_id", "is_target", "n_tokens", "ids"]
+            )
 
-    source = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs["is_target"].cast("boolean"), F.lit(False)).alias("is_target"), docs["text"].cast("string"))
-    return map_batches(source, run, "doc_id long, is_target boolean, ids binary")
+    source = docs.select(F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("long"), F.coalesce(docs["is_target"].cast("boolean"), F.lit(False)).alias("is_target"), docs["text"].cast("string"))
+    return map_batches(source, run, "place long, doc_id long, is_target boolean, n_tokens long, ids binary")
 
 
-def _bigrams(ids: bytes, size: int) -> np.ndarray:
-    """Context times vocabulary plus token; the context of the first token is number ``size``."""
-    own = np.frombuffer(ids, "<u2").astype(np.int64)
-    return np.concatenate([[size], own[:-1]]) * size + own if len(own) else own
+def _grams(ids: bytes, size: int, order: int) -> np.ndarray:
+    """Every token with the ``order`` - 1 before it as one number; what comes before a text is number ``size``."""
+    own = np.frombuffer(ids, "<u4").astype(np.int64)
+    padded = np.concatenate([np.full(order - 1, size, np.int64), own])
+    out = np.zeros(len(own), np.int64)
+    for k in range(order):
+        out = out << _BITS | padded[k : k + len(own)]
+    return out
 
 
-def counts(found: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """``bigram``, ``target`` and ``background``: how often each bigram stands in marked documents and in all."""
+def counts(found: DataFrame, size: int, order: int) -> DataFrame:
+    """``gram``, ``target`` and ``background``: how often each n-gram stands in marked documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, (size + 1) * size), np.int64)
-        waiting: list[list[np.ndarray]] = [[], []]
+        waiting: list[tuple[bool, np.ndarray]] = []
         total = 0
 
-        def flush() -> None:
-            for row, many in zip(sums, waiting, strict=True):
-                if many:
-                    row += np.bincount(np.concatenate(many), minlength=sums.shape[1])
-                many.clear()
+        def flush() -> pa.RecordBatch:
+            gram, at = np.unique(np.concatenate([g for _, g in waiting]), return_inverse=True)
+            marked = np.concatenate([np.full(len(g), m) for m, g in waiting])
+            waiting.clear()
+            sums = [np.bincount(x, minlength=len(gram)).astype(np.int64) for x in (at[marked], at)]
+            return pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, sums)], names=["gram", "target", "background"])
 
         for batch in batches:
-            for marked, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                waiting[bool(marked)].append(own := _bigrams(ids, size))
+            for marked, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting.append((bool(marked), own := _grams(ids, size, order)))
                 total += len(own)
                 if total > _TOGETHER:
-                    flush()
+                    yield flush()
                     total = 0
-        flush()
-        sums[0] += sums[1]
-        seen = np.flatnonzero(sums[0])
-        for i in range(0, len(seen), _TAKE):
-            part = seen[i : i + _TAKE]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[1][part]), pa.array(sums[0][part])], names=["bigram", "target", "background"])
+        if waiting:
+            yield flush()
+
+    return _summed(map_batches(found.select("is_target", "ids"), run, "gram long, target long, background long"), F.col("gram"))
+
+
+def _summed(rows: DataFrame, key: Column) -> DataFrame:
+    return rows.groupBy(key.alias("gram")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
-    partial = map_batches(found, run, "bigram long, target long, background long")
-    return partial.groupBy("bigram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+def model(grams: DataFrame, size: int, order: int) -> DataFrame:
+    """``gram``, ``target_loss`` and ``background_loss`` (-log p of its last token after the others) of every n-gram in ``grams``, as :func:`counts` gives them."""
+    which = ("target", "background")
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = written(_summed(levels[k + 1], F.col("gram").bitwiseAND(F.lit((1 << _BITS * k) - 1))), f"grams-{k}")
+    totals = levels[1].agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in which)).first()
+    p = levels[1].select("gram", *((F.col(c) + F.lit(ADDED)) / F.lit(totals[c] + ADDED * size) for c in which)).toDF("gram", *which)
+    for k in range(2, order + 1):
+        own = levels[k].withColumn("_c", F.shiftright("gram", _BITS)).withColumn("_s", F.col("gram").bitwiseAND(F.lit((1 << _BITS * (k - 1)) - 1)))
+        context = _summed(levels[k], F.shiftright("gram", _BITS)).toDF("_c", "_ct", "_cb")
+        met = own.join(context, "_c").join(p.toDF("_s", "_pt", "_pb"), "_s")
+        p = written(met.select(
+            "gram", *(((F.col(c) + PRIOR * F.col(f"_p{c[0]}")) / (F.col(f"_c{c[0]}") + F.lit(PRIOR))).alias(c) for c in which)
+        ), f"model-{k}")
+    return p.select("gram", *((-F.log(c)).alias(f"{c}_loss") for c in which))
 
 
 def losses(bigrams: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -110,34 +136,33 @@ def losses(bigrams: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return -np.log(out)
 
 
-def score(docs: DataFrame, rank_file: str, pattern: str, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None, order: int = 2) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` (means over the tokens) and ``difference`` of every document.
 
-    ``docs`` has ``doc_id``, ``text`` and ``is_target`` (null: not marked). A text without tokens has null losses. Without any marked document the target
-    model is flat. Repeated rows count and are scored each, null ids as well; an empty table gives no rows; other columns are not read.
+    ``docs`` has ``doc_id``, ``text`` and ``is_target`` (null: not marked). ``size`` is the number of ranks (None: all), ``order`` 1 to 3. A text
+    without tokens has null losses. Without any marked document the target model is flat. Repeated rows count and are scored each, null ids
+    as well; an empty table gives no rows; other columns are not read.
     """
+    own_size = size or len(read_ranks(rank_file))
     found = written(tokens(docs, rank_file, pattern, size), "tokens")
-    model = written(counts(found, size), "bigrams")
-    seen = model.toPandas()  # at most (size + 1) * size rows
-    drop(model)
-    bigram = seen["bigram"].to_numpy(np.int64)
-    target, background = (losses(bigram, seen[c].to_numpy(np.float64), size).ravel().astype(np.float32) for c in ("target", "background"))
-    sent = docs.sparkSession.sparkContext.broadcast((target, background))
+    grams = written(counts(found, own_size, order), "grams")
+    losses_of = written(model(grams, own_size, order), "losses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for ids in batch.column(1).to_pylist():
-                own = _bigrams(ids, size)
-                if len(own):
-                    a, b = (float(table[own].mean(dtype=np.float64)) for table in sent.value)
-                    made.append((len(own), a, b, a - b))
-                else:
-                    made.append((0, None, None, None))
-            columns = list(zip(*made, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] + [pa.float64()] * 3, strict=True))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
-
-    return map_batches(found.select("doc_id", "ids"), run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+            for place, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids:
+                    gram, n = np.unique(_grams(ids, own_size, order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), place)), pa.array(gram), pa.array(n.astype(np.int32))], names=["place", "gram", "n"])
+
+    out = None
+    for k in range(SLICES):
+        part = found.where(F.pmod(F.xxhash64("place"), F.lit(SLICES)) == k)
+        met = map_batches(part.select("place", "ids"), run, "place long, gram long, n int").join(losses_of, "gram")
+        sums = written(met.groupBy("place").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss"))), "sums")
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the slice's shuffle files
+        out = sums if out is None else out.unionByName(sums)
+    met = found.select("place", "doc_id", "n_tokens").join(out, "place", "left")
+    means = met.select("doc_id", "n_tokens", *((F.col(c) / F.col("n_tokens")).alias(c) for c in ("target_loss", "background_loss")))
+    return means.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

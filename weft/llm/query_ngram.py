@@ -19,9 +19,9 @@ def marked(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` scored; the target are those that ``labels`` calls good, the background is all."""
+    """All ``documents`` scored; the target are those that ``labels`` calls good, the background is all; trigrams of the whole vocabulary."""
     docs = marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return score(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, order=3)
 
 
 QUERIES = {"op5_cross_entropy": op5_cross_entropy}
