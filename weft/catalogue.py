@@ -252,7 +252,7 @@ _graph(
     lambda d: d.select("doc_id", "lang", F.get("labels", F.lit(0))["quality"].alias("quality"), F.get("labels", F.lit(0))["toxic"].alias("toxic")),
 )
 _graph(
-    "limit_before_join", "query Q { customer { @sort(c_acctbal, Desc) @sort(c_custkey, Asc) c_custkey nation { n_name } } }",
+    "sort_with_link", "query Q { customer { @sort(c_acctbal, Desc) @sort(c_custkey, Asc) c_custkey nation { n_name } } }",
     "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", "customer", lambda d: d.select("c_custkey", "nation.n_name"),
 )
 
