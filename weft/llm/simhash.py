@@ -9,11 +9,12 @@ ranges. Node pairs are traversed together, starting with each run value against
 children, those of unequal bits cost one of the budget, and a pair beyond it is dropped with all below. Links
 are joined to forests inside the task, so a task never gives more edges than it has fingerprints.
 
-Near copies by similarity (:func:`first_of_near_copies`) need a budget of so many bits that a trie prunes nothing: there the fingerprints
-of a run value are compared in blocks, among texts of nearly equal size alone, and each link is checked by the Jaccard similarity of its texts.
-
 A run value with very many fingerprints is dealt out once more, by pairs of the trie's nodes some levels below that are within
 the budget: the same traversal, started at those pairs.
+
+Near copies by similarity (:func:`first_of_near_copies`) differ in more bits than a short fingerprint can be cut for. They have one of some
+hundred bits, cut into so many runs that near copies agree in at least one of them (all but a share of ``MISSED`` of those that are just similar enough);
+who agrees in one meets in a trie of 64 more bits. What links there is joined to clouds, whose texts alone are compared exactly.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, row_of, texts, written
+from .common import Side, map_batches, texts, with_places, without_places, written
 from .components import components
 
 BITS = 64
@@ -36,6 +37,7 @@ HEAVY = 1000
 #: Levels below a heavy run value at which its node pairs are dealt out.
 LEVELS = 6
 _CHUNK = 1 << 16
+_PRODUCTS = 1 << 20
 
 
 # --- fingerprints ----------------------------------------------------------------------------------------------
@@ -98,24 +100,51 @@ def _split(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
     return lo
 
 
-def near_links(codes: np.ndarray, pairs: np.ndarray, budget: int) -> Iterator[np.ndarray]:
-    """Index pairs of sorted distinct ``codes`` that differ in at most ``budget`` bits, below given pairs of nodes.
+def _ends(labels: np.ndarray) -> np.ndarray:
+    """For each place the end of the stretch of equal labels that it lies in."""
+    last = np.flatnonzero(np.concatenate([labels[1:] != labels[:-1], [True]])) + 1
+    return np.repeat(last, np.diff(np.concatenate([[0], last])))
+
+
+def _products(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of each pair of ranges, of a range with itself each once."""
+    width = bhi - blo
+    n = (ahi - alo) * width
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(width, n)
+    up = at // wide
+    i, j = np.repeat(alo, n) + up, np.repeat(blo, n) + at - up * wide
+    once = np.repeat(alo != blo, n) | (i < j)
+    return i[once], j[once]
+
+
+def near_links(codes: np.ndarray, pairs: np.ndarray, budget: int, leaf: int = 1, labels: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Index pairs of sorted ``codes`` that differ in at most ``budget`` bits, below given pairs of nodes.
 
     ``pairs`` has columns (a from, a to, b from, b to, depth, errors): ranges of codes that share their first ``depth`` bits, and the bits
     in which these differ. A node paired with itself gives each link once. Pairs wait on a stack in chunks, so
-    memory is bounded by the depth of the trie.
+    memory is bounded by the depth of the trie. Nodes of at most ``leaf`` codes are leaves; equal codes are given if they share a leaf. If there are
+    ``labels``, which whoever takes the links may change, a pair of nodes that hold one label alone is dropped with all below.
     """
     stack = [pairs[i : i + _CHUNK] for i in range(0, len(pairs), _CHUNK)]
     while stack:
         p = stack.pop()
+        if labels is not None and len(p):
+            ends = _ends(labels)
+            alo, ahi, blo, bhi = p[:, 0], p[:, 1], p[:, 2], p[:, 3]
+            p = p[~((labels[alo] == labels[blo]) & (ends[alo] >= ahi) & (ends[blo] >= bhi))]
         alo, ahi, blo, bhi, depth, err = p.T
-        single = (ahi - alo == 1) & (bhi - blo == 1)
-        if single.any():
-            i, j = alo[single], blo[single]
-            ok = (np.bitwise_count(codes[i] ^ codes[j]) <= budget) & (i != j)
-            if ok.any():
-                yield np.stack([i[ok], j[ok]], 1)
-            p = p[~single]
+        small = ((ahi - alo <= leaf) & (bhi - blo <= leaf)) | (depth >= BITS)
+        if small.any():
+            todo = p[small]
+            cost = np.cumsum((todo[:, 1] - todo[:, 0]) * (todo[:, 3] - todo[:, 2]))
+            for part in np.split(todo, np.searchsorted(cost, np.arange(_PRODUCTS, cost[-1], _PRODUCTS))):
+                if len(part):
+                    i, j = _products(*part.T[:4])
+                    ok = np.bitwise_count(codes[i] ^ codes[j]) <= budget
+                    if ok.any():
+                        yield np.stack([i[ok], j[ok]], 1)
+            p = p[~small]
         if not len(p):
             continue
         alo, ahi, blo, bhi, depth, err = p.T
@@ -258,170 +287,240 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
 
 
 def first_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """One document of each component, with its columns: that of the smallest id (null last), of repeated ids any one row."""
-    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_of(docs).alias("doc"))
-    rows = written(packed.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text", "doc"), "numbered")
-    found = written(_carrying_place(rows, width), "fingerprints")
-    of = _component_ids(found.select("doc_id", "fp"), budget)
-    chosen = found.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("c"))
-    chosen = written(chosen.select(F.col("c.place").alias("place")), "chosen")
-    return rows.join(chosen, "place", "left_semi").select("doc.*")
+    """One document of each component, with its columns: that of the smallest id (null last), of repeated ids any one row.
 
+    Null and empty texts are one component, with what is linked to fingerprint zero; an empty table gives no rows; columns may have any names.
+    """
+    placed = with_places(docs)
 
-def _carrying_place(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(raw, width) for raw in texts(batch.column(2))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["place", "doc_id", "fp"])
+            found = np.array([fingerprint(raw, width) for raw in texts(batch.column(3))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], names=["file", "at", "doc_id", "fp"])
+
+    found = written(map_batches(_narrow(placed), run, "file long, at long, doc_id long, fp long"), "fingerprints")
+    of = _component_ids(found.select("doc_id", "fp"), budget)
+    return _first_of_each_root(placed, found.join(of, "fp").select("file", "at", "doc_id", "root"))
+
+
+def _narrow(placed: DataFrame) -> DataFrame:
+    return placed.select("file", "at", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
 
-    return map_batches(rows.select("place", "doc_id", "text"), run, "place long, doc_id long, fp long")
+
+def _first_of_each_root(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without all but the first of each ``root``; ``found`` has place, ``doc_id`` and ``root``. Only what goes is dealt out, as places."""
+    found = written(found, "rooted")
+    first = found.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "file", "at")).alias("c"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("_root", "c")
+    gone = found.join(first, F.col("root") == F.col("_root")).where((F.col("file") != F.col("c.file")) | (F.col("at") != F.col("c.at"))).select("file", "at")
+    return without_places(placed, Side(gone, "gone", found.count()))
 
 
 # --- near copies by similarity ---------------------------------------------------------------------------------
 
-#: Near copies: words of a shingle, least Jaccard similarity, and the bits of 64 and of 128 in which fingerprints of such texts differ at
-#: most: at a similarity of 0.8 the means are 9.7 and 19.4, the deviations 2.9 and 4.1.
-SHINGLE, SIMILARITY, NEAR_BITS, NEAR_BITS_BOTH = 5, 0.8, 16, 36
-_BLOCK = 1024
+#: Near copies: words of a shingle and least Jaccard similarity of the sets of shingles.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Share of the pairs of just that similarity that agree in none of the runs.
+MISSED = 0.001
+#: Bits in which the tries' codes, and these with a second word, differ at most. At a similarity of 0.8 the means are 9.7 of 64 and 19.4 of 128 bits, the
+#: deviations 2.9 and 4.1; of unrelated texts 32 and 64, 4 and 5.7.
+NEAR_BITS, NEAR_BITS_BOTH = 20, 36
+#: Texts that meet in a task: larger run values and clouds are dealt out by pairs of blocks.
+BLOCK = 4096
+_LEAF = 24
 
 
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def runs_for(n: int, similarity: float = SIMILARITY, missed: float = MISSED) -> tuple[int, int]:
+    """Bits of a run and number of runs for ``n`` texts: some hundred texts have a run value by chance, whatever ``n`` is, and at most ``missed`` of the pairs agree in no run."""
+    bits = min(32, max(8, n.bit_length() - 7))
+    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return bits, int(np.ceil(np.log(missed) / np.log1p(-((1 - apart) ** bits))))
 
 
 def _shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(raw, width), "<u8"))
 
 
-def _sketch(raw: bytes, width: int) -> tuple[int, int, int, int]:
-    """Digest of the set of shingles, its fingerprint, that of the mixed hashes, and its size."""
-    own = _shingle_set(raw, width)
-    mixed = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED), _majority(own), _majority(mixed ^ (mixed >> np.uint64(32))), len(own)
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash of each hash."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([_sketch(raw, width) for raw in texts(batch.column(2))], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(made[:, k]) for k in range(4))], names=["place", "doc_id", "node", "fp", "mixed", "n"])
+def long_fingerprint(own: np.ndarray, n_words: int) -> np.ndarray:
+    """A fingerprint of so many 64-bit words of a set of shingle hashes; zero if it is empty."""
+    ones = np.zeros(n_words * BITS, np.int64)
+    for i in range(0, len(own), 2048):
+        part = own[i : i + 2048]
+        words = np.stack([_mixed(part, k) for k in range(n_words)], 1)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own), bitorder="little").view("<u8")
 
-    return map_batches(rows.select("place", "doc_id", "text"), run, "place long, doc_id long, node long, fp long, mixed long, n long")
 
+def run_values(fingerprint: np.ndarray, bits: int, runs: int) -> np.ndarray:
+    """The values of the runs that follow the first two words; each has its number in the upper half."""
+    bit = np.unpackbits(fingerprint[2:].view(np.uint8), bitorder="little")[: bits * runs].reshape(runs, bits)
+    return (bit.astype(np.int64) << np.arange(bits)).sum(1) | np.arange(runs, dtype=np.int64) << 32
 
-_NODE = np.dtype([("run", "<i8"), ("value", "<i8"), ("node", "<i8"), ("fp", "<u8"), ("mixed", "<u8"), ("n", "<i8"), ("component", "<i8")])
 
+_SKETCH = "file long, at long, doc_id long, node long, n long, a long, b long, runs array<long>"
 
-def _close_pairs(rows: np.ndarray, budget: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (later, earlier) of rows in the order of (run, value, size) that may be near copies and are in different components.
 
-    Each pair comes in the first run that its fingerprints share. Texts whose sizes are further apart than ``similarity`` are not compared.
-    """
-    runs = _runs(budget)
-    masks = [np.uint64(((1 << n) - 1) << (BITS - s - n)) for s, n in runs]
-    edge = np.flatnonzero(np.concatenate([[True], (rows["run"][1:] != rows["run"][:-1]) | (rows["value"][1:] != rows["value"][:-1]), [True]]))
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        fp, sizes, run = rows["fp"][lo:hi], rows["n"][lo:hi], int(rows["run"][lo])
-        for a in range(0, hi - lo, _BLOCK):
-            b = min(a + _BLOCK, hi - lo)
-            for c in range(int(np.searchsorted(sizes, similarity * sizes[a])), b, _BLOCK):
-                i, j = np.nonzero(np.bitwise_count(fp[a:b, None] ^ fp[None, c : min(c + _BLOCK, b)]) <= budget)
-                i, j = i + lo + a, j + lo + c
-                i, j = i[i > j], j[i > j]
-                x = rows["fp"][i] ^ rows["fp"][j]
-                ok = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(rows["mixed"][i] ^ rows["mixed"][j]) <= NEAR_BITS_BOTH
-                ok &= (rows["component"][i] != rows["component"][j]) & (rows["n"][j] >= similarity * rows["n"][i])
-                for k in range(run):
-                    ok &= (x & masks[k]) != 0
-                if ok.any():
-                    yield i[ok], j[ok]
-
-
-def _candidates(nodes: DataFrame, budget: int, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs ``u``, ``v`` of nodes that may be near copies, and the ``bits`` in which they differ; ``nearest``: of each only the one before it that differs least."""
-    starts = F.array(*(
-        F.struct(F.lit(k).cast("long").alias("run"), F.shiftrightunsigned(F.shiftleft("fp", s), BITS - n).alias("value")) for k, (s, n) in enumerate(_runs(budget))
-    ))
-    dealt = nodes.select(F.explode(starts).alias("r"), "node", "fp", "mixed", "n", "component").select("r.*", "node", "fp", "mixed", "n", "component")
+def _sketches(placed: DataFrame, width: int, bits: int, runs: int) -> DataFrame:
+    """Place and id of every document, the digest (``node``) and size of its set of shingles, and its fingerprint: two words and the values of the runs."""
+    n_words = 2 + -(-bits * runs // BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
         for batch in batches:
-            part = np.empty(batch.num_rows, _NODE)
-            for name, column in zip(_NODE.names, batch.columns, strict=True):
-                part[name] = column.to_numpy(zero_copy_only=False).view(_NODE[name])
-            parts.append(part)
-        if not parts:
-            return
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows["node"], rows["n"], rows["value"], rows["run"]))]
-
-        def given(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            bits = np.bitwise_count(rows["fp"][i] ^ rows["fp"][j]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rows["node"][i]), pa.array(rows["node"][j]), pa.array(bits)], names=["u", "v", "bits"])
-
-        best = np.full(len(rows) if nearest else 0, np.iinfo(np.int64).max)
-        for i, j in _close_pairs(rows, budget, similarity):
-            if nearest:
-                np.minimum.at(best, i, np.bitwise_count(rows["fp"][i] ^ rows["fp"][j]).astype(np.int64) * (1 << 48) + j)
-            else:
-                yield given(i, j)
-        if nearest:
-            i = np.flatnonzero(best < np.iinfo(np.int64).max)
-            yield given(i, best[i] & ((1 << 48) - 1))
-
-    found = map_batches(dealt.repartition("run", "value"), run, "u long, v long, bits long")
-    if nearest:
-        found = found.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("c")).select("u", F.col("c.v").alias("v"))
-    return found.select("u", "v")
-
-
-def _similar(pairs: DataFrame, of_node: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have this Jaccard similarity; ``of_node`` has one ``text`` for each ``node``."""
+            made, values = np.empty((batch.num_rows, 4), np.int64), np.empty((batch.num_rows, runs), np.int64)
+            for k, raw in enumerate(texts(batch.column(3))):
+                own = _shingle_set(raw, width)
+                fp = long_fingerprint(own, n_words)
+                made[k] = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), *fp[:2]], np.uint64).view(np.int64)
+                values[k] = run_values(fp, bits, runs)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, runs), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(made[:, k]) for k in range(4)), lists], names=[c.split()[0] for c in _SKETCH.split(", ")])
+
+    return map_batches(_narrow(placed), run, _SKETCH)
+
+
+def _in_blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Rows with columns ``x``, ``y`` and ``own``: those of a ``key`` with more than ``block`` rows are dealt to all pairs (x, y) with their own block of texts."""
+    heavy = written(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > block), name)
+    zero = F.lit(0).cast("int")
+    if heavy.isEmpty():
+        return rows.select("*", zero.alias("x"), zero.alias("y"), zero.alias("own"))
+    blocks = F.ceil(F.coalesce("_n", F.lit(1)) / block).cast("int")
+    dealt = rows.join(heavy, F.col("key") == F.col("_key"), "left").withColumn("_blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
+    return dealt.select(*rows.columns, F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"), "own")
+
+
+_MET = np.dtype([("key", "<i8"), ("x", "<i4"), ("y", "<i4"), ("own", "<i4"), ("node", "<i8"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8")])
+
+
+def _linked(rows: np.ndarray, sets: list[bytes] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, node) that connect what is linked among rows that meet by ``key``, ``x`` and ``y``; by exact similarity if there are ``sets`` of shingle hashes."""
+    order = np.lexsort((rows["a"], rows["own"], rows["y"], rows["x"], rows["key"]))
+    rows = rows[order]
+    group = rows[["key", "x", "y"]]
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    lo, hi = edge[:-1], edge[1:]
+    inner = np.flatnonzero((rows["own"][1:] != rows["own"][:-1]) & (group[1:] == group[:-1])) + 1  # where a group's second block begins
+    cut = hi.copy()
+    cut[np.searchsorted(lo, inner, "right") - 1] = inner
+    crossed = rows["x"][lo] != rows["y"][lo]
+    pairs = np.stack([lo, np.where(crossed, cut, hi), np.where(crossed, cut, lo), hi, np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)], 1)
+    pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 3] - pairs[:, 0] > 1)]
+    codes, second, sizes = rows["a"], rows["b"], rows["n"]
+    first = {}
+    labels = np.array([first.setdefault(v, i) for i, v in enumerate(rows["node"].tolist())], np.int64)
+    known: dict[int, frozenset] = {}
+
+    def members(i: int) -> frozenset:
+        if i not in known:
+            known[i] = frozenset(np.frombuffer(sets[order[i]], "<u8").tolist())
+        return known[i]
+
+    def near(links: np.ndarray) -> np.ndarray:
+        i, j = links.T
+        bits = np.bitwise_count(codes[i] ^ codes[j]).astype(np.int64) + np.bitwise_count(second[i] ^ second[j])
+        ok = (labels[i] != labels[j]) & (bits <= NEAR_BITS_BOTH) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+        if sets is None or not ok.any():
+            return links[ok]
+        links = links[ok][np.argsort(bits[ok], kind="stable")]
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while k in root:
+                k = root[k]
+            return k
+
+        kept = []
+        for i, j in links.tolist():
+            u, v = find(int(labels[i])), find(int(labels[j]))
+            if u != v:
+                p, q = members(i), members(j)
+                both = len(p & q)
+                if both >= similarity * (len(p) + len(q) - both):
+                    root[max(u, v)] = min(u, v)
+                    kept.append((i, j))
+        return np.array(kept, np.int64).reshape(-1, 2)
+
+    beside = np.flatnonzero(group[1:] == group[:-1])
+    beside = beside[np.bitwise_count(codes[beside] ^ codes[beside + 1]) <= NEAR_BITS]
+    found = near(np.stack([beside, beside + 1], 1)) if len(beside) else np.empty((0, 2), np.int64)
+    if len(found):
+        labels[:] = join_labels(labels, found)
+    for links in near_links(codes, pairs, NEAR_BITS, _LEAF, labels):
+        if len(found := near(links)):
+            labels[:] = join_labels(labels, found)
+    moved = np.flatnonzero(rows["node"] != rows["node"][labels])
+    edges = np.unique(np.stack([rows["node"][moved], rows["node"][labels[moved]]], 1), axis=0) if len(moved) else np.empty((0, 2), np.int64)
+    return edges[:, 0], edges[:, 1]
+
+
+def _edges(met: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """Edges ``u``, ``v`` among the rows of :func:`_in_blocks`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sets = [], []
         for batch in batches:
-            keep = []
-            for a, b in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
-                x, y = _shingle_set(a, width), _shingle_set(b, width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            part = np.empty(batch.num_rows, _MET)
+            for k, name in enumerate(_MET.names):
+                part[name] = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64 if name in "ab" else batch.column(k).type.to_pandas_dtype())
+            parts.append(part)
+            if exact:
+                sets += batch.column(len(_MET.names)).to_pylist()
+        if parts:
+            u, v = _linked(np.concatenate(parts), sets if exact else None, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return map_batches(met.select(*_MET.names, *["shingles"] * exact).repartition("key", "x", "y"), run, "u long, v long")
+
 
-    met = pairs.join(of_node.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(of_node.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return map_batches(met.select("u", "v", "a", "b"), run, "u long, v long")
+def _with_sets(placed: DataFrame, wanted: Side, width: int) -> DataFrame:
+    """``key``, ``node``, ``n``, ``a``, ``b`` and the ``shingles`` of the wanted places."""
+    names = ["key", "node", "n", "a", "b"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, side, lo, hi in wanted.beside(batches):
+            mine = np.flatnonzero(lo < hi)
+            if len(mine):
+                own = [_shingle_set(raw, width).tobytes() for raw in texts(batch.column(2).take(pa.array(mine)))]
+                yield pa.RecordBatch.from_arrays([*(side.column(c).take(pa.array(lo[mine])).combine_chunks() for c in names), pa.array(own, pa.binary())], names=[*names, "shingles"])
+
+    return map_batches(_narrow(placed).drop("doc_id"), run, "key long, node long, n long, a long, b long, shingles binary")
 
-def first_of_near_copies(docs: DataFrame, width: int = SHINGLE, budget: int = NEAR_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, with its columns: that of the smallest id (null last), of repeated ids any one row.
 
-    Near copies have a Jaccard similarity of at least ``similarity`` of their sets of shingles, and groups are what such links connect. Links are sought among
-    fingerprints that differ in at most ``budget`` bits. Texts with equal sets meet once. A large group of near copies is joined by the links of each
-    text to its nearest one first; what is still apart is then compared in full, so pairs don't grow with the square of a group.
+def near_copy_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, missed: float = MISSED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places, and ``file``, ``at``, ``doc_id`` and ``root`` of each: equal roots belong to one group of near copies.
+
+    Near copies have a Jaccard similarity of at least ``similarity`` of their sets of shingles, and groups are what such links connect. Equal sets meet
+    once; null and empty texts are one set. A pair of just that similarity isn't compared with a probability of ``missed`` and some 1e-4 for the bits of the tries, a more similar one with far less;
+    every pair that is compared is decided by its texts. Texts that are compared are those of clouds alone, once for each pair of blocks that a cloud of more than ``block``
+    texts is cut into.
+    """
+    placed = with_places(docs)
+    bits, runs = runs_for(placed.select("file").count(), similarity, missed)
+    found = written(_sketches(placed, width, bits, runs), "sketches")
+    nodes = written(found.groupBy("node").agg(F.min(F.struct("file", "at")).alias("c"), *(F.first(c).alias(c) for c in ("n", "a", "b", "runs"))).select("node", "c.file", "c.at", "n", "a", "b", "runs"), "nodes")
+    met = _in_blocks(nodes.select(F.explode("runs").alias("key"), "node", "n", "a", "b"), block * 16, "heavy-runs")
+    others = components(_edges(met, similarity, False)).select("node", F.col("component").alias("key"))
+    clouds = written(others.unionByName(others.select(F.col("key").alias("node"), "key").distinct()), "clouds")
+    of_cloud = nodes.drop("runs").join(clouds, "node")
+    wanted = Side(of_cloud.select("file", "at", "key", "node", "n", "a", "b"), "cloud-places", clouds.count())
+    sets = written(_with_sets(placed, wanted, width), "cloud-sets")
+    near = components(_edges(_in_blocks(sets, block, "heavy-clouds"), similarity, True))
+    joined = found.select("file", "at", "doc_id", "node").join(near.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left")
+    return placed, joined.select("file", "at", "doc_id", F.coalesce("component", "node").alias("root"))
+
+
+def first_of_near_copies(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, missed: float = MISSED, block: int = BLOCK) -> DataFrame:
+    """One document of each group of :func:`near_copy_groups`, with its columns: that of the smallest id (null last), of repeated ids any one row.
+
+    An empty table gives no rows; columns may have any names.
     """
-    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_of(docs).alias("doc"))
-    rows = written(packed.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text", "doc"), "numbered")
-    found = written(_sketches(rows, width), "sketches")
-    nodes = written(found.groupBy("node").agg(F.min(F.struct("place", "fp", "mixed", "n")).alias("c")).select("node", "c.*"), "nodes")
-
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, "candidates")
-        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        places = written(nodes.join(used, "node", "left_semi").select("node", "place"), "places")
-        of_node = written(rows.select("place", "text").join(places, "place").select("node", "text"), "pair-texts")
-        return written(_similar(pairs, of_node, width, similarity), name)
-
-    alone = nodes.withColumn("component", F.col("node"))
-    near = checked(_candidates(alone, budget, similarity, True), "nearest-links")
-    joined = written(components(near).withColumnRenamed("component", "_c"), "nearest-components")
-    apart = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("_c", "node"))
-    rest = checked(_candidates(apart, budget, similarity, False), "further-links")
-    whole = written(components(near.unionByName(rest)).withColumnRenamed("component", "_c"), "near-components")
-    of = found.join(whole, "node", "left").withColumn("root", F.coalesce("_c", "node"))
-    chosen = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("c"))
-    chosen = written(chosen.select(F.col("c.place").alias("place")), "chosen")
-    return rows.join(chosen, "place", "left_semi").select("doc.*")
+    return _first_of_each_root(*near_copy_groups(docs, width, similarity, missed, block))
