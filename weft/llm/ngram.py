@@ -5,31 +5,33 @@ and encode any text. They are estimated alike: n-grams are smoothed by the next
 constant. The background is every document, the target the documents that are marked; counts come from all of them. A document's
 score is the mean over its tokens of target loss minus background loss, in nats: low is like the target.
 
-Counts are tables that grow with the corpus: one row for each n-gram that occurs. As the background is every document, each n-gram of a
-document has a row; its losses are computed there, once, and joined to the documents' n-grams. The driver gathers two totals.
+Counts grow with the corpus: whatever n-gram occurs has one. Documents are read in chunks of some million tokens. A chunk asks for the counts of its
+distinct n-grams: sorted, packed blocks of them, dealt out by a hash, carry the chunk's own counts and come back with the sums over all chunks. A
+chunk is then scored beside what came back, so n-grams travel once per chunk and never once per document, a frequent one meets one row per
+chunk, and the driver gathers two totals.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import map_batches, written
+from .common import Side, drop, map_batches, with_places, written
 from .pretokens import Encoder
 
-#: Weight of the unigram model in a bigram's context, in tokens, and the constant added to each unigram.
+#: Weight of the next shorter model in an n-gram's context, in tokens, and the constant added to each unigram.
 PRIOR, ADDED = 32.0, 0.5
 _TOGETHER = 1 << 20
 #: Bits of a token in the number of an n-gram of up to three.
 _BITS = 21
-#: Documents are scored in so many slices, one after another, so that the n-grams of one slice alone wait on disk.
-SLICES = 8
+#: Tokens of a chunk, but for a document that has more; distinct n-grams of the corpus are counted in at least one bucket for so many tokens.
+CHUNK = 1 << 21
 
 
 _encoders: dict[tuple[str, str, int | None], Encoder] = {}
@@ -49,20 +51,38 @@ def encoder(rank_file: str, pattern: str, size: int | None = None) -> Encoder:
     return _encoders[key]
 
 
-def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None) -> DataFrame:
-    """``place``, ``doc_id``, ``is_target``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole text; null is empty."""
+def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """``chunk``, ``doc_id``, ``is_target``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole text; null is empty.
+
+    ``targets`` has the ``doc_id`` of the marked documents; without it they have a column ``is_target``.
+    """
+    placed = with_places(docs)
+    doc_id = F.col("doc.doc_id").cast("long").alias("doc_id")
+    marks = None
+    if targets is not None:
+        of = targets.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+        marks = Side(placed.select("file", "at", doc_id).join(of, F.col("doc_id") == F.col("_id"), "left_semi").select("file", "at"), "targets", targets.count())
+    names = ["chunk", "doc_id", "is_target", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
+        own, chunk, held = None, 0, CHUNK
+        if marks is not None:
+            parts = ((batch, pa.array(lo < hi)) for batch, _, lo, hi in marks.beside(batches))
+        else:
+            parts = ((batch, batch.column(4)) for batch in batches)
+        for batch, marked in parts:
             own = own or encoder(rank_file, pattern, size)
             ids = [own.encode(t or "") for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["place", "doc_id", "is_target", "n_tokens", "ids"]
-            )
+            chunks = np.empty(len(ids), np.int64)
+            for k, i in enumerate(ids):
+                if held >= CHUNK:
+                    chunk, held = xxhash.xxh3_64_intdigest(f"{batch.column(0)[k]} {batch.column(1)[k]}") >> 1, 0
+                chunks[k], held = chunk, held + len(i) // 4
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), batch.column(2), marked, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
 
-    source = docs.select(F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("long"), F.coalesce(docs["is_target"].cast("boolean"), F.lit(False)).alias("is_target"), docs["text"].cast("string"))
-    return map_batches(source, run, "place long, doc_id long, is_target boolean, n_tokens long, ids binary")
+    marked = F.lit(False) if targets is not None else F.coalesce(F.col("doc.is_target").cast("boolean"), F.lit(False))
+    source = placed.select("file", "at", doc_id, F.col("doc.text").cast("string").alias("text"), marked.alias("is_target"))
+    return map_batches(source, run, "chunk long, doc_id long, is_target boolean, n_tokens long, ids binary")
 
 
 def _grams(ids: bytes, size: int, order: int) -> np.ndarray:
@@ -106,24 +126,6 @@ def _summed(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("gram")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def model(grams: DataFrame, size: int, order: int) -> DataFrame:
-    """``gram``, ``target_loss`` and ``background_loss`` (-log p of its last token after the others) of every n-gram in ``grams``, as :func:`counts` gives them."""
-    which = ("target", "background")
-    levels = {order: grams}
-    for k in range(order - 1, 0, -1):
-        levels[k] = written(_summed(levels[k + 1], F.col("gram").bitwiseAND(F.lit((1 << _BITS * k) - 1))), f"grams-{k}")
-    totals = levels[1].agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in which)).first()
-    p = levels[1].select("gram", *((F.col(c) + F.lit(ADDED)) / F.lit(totals[c] + ADDED * size) for c in which)).toDF("gram", *which)
-    for k in range(2, order + 1):
-        own = levels[k].withColumn("_c", F.shiftright("gram", _BITS)).withColumn("_s", F.col("gram").bitwiseAND(F.lit((1 << _BITS * (k - 1)) - 1)))
-        context = _summed(levels[k], F.shiftright("gram", _BITS)).toDF("_c", "_ct", "_cb")
-        met = own.join(context, "_c").join(p.toDF("_s", "_pt", "_pb"), "_s")
-        p = written(met.select(
-            "gram", *(((F.col(c) + PRIOR * F.col(f"_p{c[0]}")) / (F.col(f"_c{c[0]}") + F.lit(PRIOR))).alias(c) for c in which)
-        ), f"model-{k}")
-    return p.select("gram", *((-F.log(c)).alias(f"{c}_loss") for c in which))
-
-
 def losses(bigrams: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """Loss of every bigram, -log p(token | context), from counts of those that were seen."""
     table = np.zeros((size + 1) * size)
@@ -136,33 +138,182 @@ def losses(bigrams: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return -np.log(out)
 
 
-def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None, order: int = 2) -> DataFrame:
+# --- counts for chunks -----------------------------------------------------------------------------------------
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(values.size, -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0).astype("<u8"))
+
+
+def _unpack_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(raw, "<u8", n).astype(np.int64))
+
+
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(n)
+
+
+class _Chunk:
+    """Documents of one chunk, and their n-grams of all orders up to ``order``, one for each token."""
+
+    def __init__(self, rows: list[tuple], size: int, order: int):
+        self.rows = rows
+        sizes = np.array([len(ids) // 4 for *_, ids in rows], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.marked = np.repeat(np.array([bool(m) for _, m, _ in rows]), sizes)
+        self.grams = {k: np.concatenate([np.empty(0, np.int64), *(_grams(ids, size, k) for *_, ids in rows)]) for k in range(1, order + 1)}
+        self.order = order
+
+    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of order k, and how often each stands in marked documents and in all, then as what comes before a token there."""
+        keys, marked, before = self.grams[k], self.marked, np.zeros(len(self.grams[k]), bool)
+        if k < self.order:
+            keys, marked, before = np.concatenate([keys, self.grams[k + 1] >> _BITS]), np.tile(marked, 2), np.repeat([False, True], len(keys))
+        if not len(keys):
+            return keys, np.empty((0, 4), np.int64)
+        order = np.argsort(keys)
+        keys, marked, before = keys[order], marked[order], before[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = [np.add.reduceat(x.astype(np.int64), first) for x in (marked & ~before, ~before, marked & before, before)]
+        return keys[first], np.stack(sums, 1)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[int, _Chunk]]:
+    rows: list[tuple] = []
+    last = None
+    for batch in batches:
+        for chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk != last and rows:
+                yield last, _Chunk(rows, size, order)
+                rows = []
+            last = chunk
+            rows.append(tuple(row))
+    if rows:
+        yield last, _Chunk(rows, size, order)
+
+
+_BLOCK = "bucket int, chunk long, k int, n int, keys binary, counts binary"
+_SUMS = "file long, at long, n int, keys binary, counts binary"
+
+
+def _blocks(found: DataFrame, size: int, order: int, buckets: int) -> DataFrame:
+    """Each chunk's distinct n-grams and their counts, in blocks by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, own in _chunks(batches, size, order):
+            for k in range(1, order + 1):
+                keys, sums = own.counts(k)
+                bucket = _bucket(keys, buckets)
+                by = np.argsort(bucket, kind="stable")
+                keys, sums, bucket = keys[by], sums[by].astype("<u4"), bucket[by]
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, int)
+                made = [(int(bucket[a]), chunk, k, int(b - a), _pack_keys(keys[a:b]), _pack(sums[a:b].ravel())) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                if made:
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    return map_batches(found.select("chunk", "doc_id", "is_target", "ids"), run, _BLOCK)
+
+
+def _summed_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The blocks with the sums over all chunks in place of a chunk's own counts; ``file`` is the chunk and ``at`` the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            for bucket, chunk, k, n, keys, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((bucket, k), []).append((chunk, n, keys, sums))
+        while held:
+            (_, k), parts = held.popitem()
+            every = np.concatenate([_unpack_keys(keys, n) for _, n, keys, _ in parts])
+            distinct, at = np.unique(every, return_inverse=True)
+            totals = np.zeros((len(distinct), 4), "<u8")
+            begin = 0
+            for _, n, _, sums in parts:  # a block has each key once
+                totals[at[begin : begin + n]] += _unpack(sums, "<u4", 4 * n).reshape(n, 4)
+                begin += n
+            begin = 0
+            for chunk, n, keys, _ in parts:
+                raw = _pack(totals[at[begin : begin + n]].ravel())
+                begin += n
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([k], pa.int64()), pa.array([n], pa.int32()), pa.array([keys], pa.binary()), pa.array([raw], pa.binary())], names=[c.split()[0] for c in _SUMS.split(", ")])
+
+    return map_batches(blocks.repartition(buckets, "bucket"), run, _SUMS)
+
+
+def _own_counts(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each place how often its key stands in the place's own document."""
+    out = np.empty(len(keys), np.int64)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        _, at, n = np.unique(keys[a:b], return_inverse=True, return_counts=True)
+        out[a:b] = n[at]
+    return out
+
+
+def _chunk_losses(own: _Chunk, sums: dict[int, tuple[np.ndarray, np.ndarray]], totals: tuple[int, int], size: int, leave_out: bool) -> list[np.ndarray]:
+    """Summed target and background losses of each document of a chunk."""
+    out = []
+    lengths = np.diff(own.bounds)[own.owner]
+    places = {k: np.searchsorted(sums[k][0], own.grams[k]) for k in own.grams}
+    contexts = {k: np.searchsorted(sums[k - 1][0], own.grams[k] >> _BITS) for k in own.grams if k > 1}
+    mine = {k: _own_counts(places[k], own.bounds) if leave_out else 0 for k in places}
+    before = {k: _own_counts(contexts[k], own.bounds) if leave_out else 0 for k in contexts}
+    for which, total in enumerate(totals):
+        less = (own.marked if which == 0 else 1) if leave_out else 0
+        p = (sums[1][1][places[1], which] - less * mine[1] + ADDED) / (total - less * lengths + ADDED * size)
+        for k in range(2, own.order + 1):
+            p = (sums[k][1][places[k], which] - less * mine[k] + PRIOR * p) / (sums[k - 1][1][contexts[k], 2 + which] - less * before[k] + PRIOR)
+        out.append(np.bincount(own.owner, -np.log(p), len(own.rows)))
+    return out
+
+
+def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None, order: int = 2, targets: DataFrame | None = None, leave_out: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` (means over the tokens) and ``difference`` of every document.
 
-    ``docs`` has ``doc_id``, ``text`` and ``is_target`` (null: not marked). ``size`` is the number of ranks (None: all), ``order`` 1 to 3. A text
+    ``docs`` has ``doc_id``, ``text`` and ``is_target`` (null: not marked), or ``targets`` the ids of the marked ones. ``size`` is the number of ranks (None: all), ``order``
+    1 to 3. With ``leave_out`` a document is scored without its own counts, so that no text is rated by a model that has seen it; equal texts still count for each other. A text
     without tokens has null losses. Without any marked document the target model is flat. Repeated rows count and are scored each, null ids
     as well; an empty table gives no rows; other columns are not read.
     """
     own_size = size or len(read_ranks(rank_file))
-    found = written(tokens(docs, rank_file, pattern, size), "tokens")
-    grams = written(counts(found, own_size, order), "grams")
-    losses_of = written(model(grams, own_size, order), "losses")
+    found = written(tokens(docs, rank_file, pattern, size, targets), "tokens")
+    marked, every = (int(x or 0) for x in found.agg(F.sum(F.when(F.col("is_target"), F.col("n_tokens"))), F.sum("n_tokens")).first())
+    buckets = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every // CHUNK))
+    counted = written(_summed_blocks(_blocks(found, own_size, order, buckets), buckets), "sums")
+    sums = Side(counted, "sums-by-chunk", every // 64)
+    drop(counted)
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ids:
-                    gram, n = np.unique(_grams(ids, own_size, order), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), place)), pa.array(gram), pa.array(n.astype(np.int32))], names=["place", "gram", "n"])
-
-    out = None
-    for k in range(SLICES):
-        part = found.where(F.pmod(F.xxhash64("place"), F.lit(SLICES)) == k)
-        met = map_batches(part.select("place", "ids"), run, "place long, gram long, n int").join(losses_of, "gram")
-        sums = written(met.groupBy("place").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss"))), "sums")
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the slice's shuffle files
-        out = sums if out is None else out.unionByName(sums)
-    met = found.select("place", "doc_id", "n_tokens").join(out, "place", "left")
-    means = met.select("doc_id", "n_tokens", *((F.col(c) / F.col("n_tokens")).alias(c) for c in ("target_loss", "background_loss")))
+        for chunk, own in _chunks(batches, own_size, order):
+            got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            table = sums._of(chunk, 0) if len(own.owner) else None
+            columns = [] if table is None else [table.column(c).to_pylist() for c in ("at", "n", "keys", "counts")]
+            for k in range(1, order + 1):
+                parts = [(_unpack_keys(keys, n), _unpack(raw, "<u8", 4 * n).reshape(n, 4).astype(np.int64)) for at, n, keys, raw in zip(*columns, strict=True) if at == k]
+                if parts:
+                    keys, values = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+                    by = np.argsort(keys)
+                    got[k] = keys[by], values[by]
+            sizes = np.diff(own.bounds)
+            losses = _chunk_losses(own, got, (marked, every), own_size, leave_out) if len(own.owner) else [np.zeros(len(sizes))] * 2
+            none = sizes == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in own.rows], pa.int64()), pa.array(sizes), *(pa.array(x / np.maximum(sizes, 1), mask=none) for x in losses)], names=names
+            )
+
+    means = map_batches(found.select("chunk", "doc_id", "is_target", "ids"), run, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return means.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -12,16 +12,15 @@ from .ngram import score
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
-def marked(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with ``is_target``: labelled as of good quality and not toxic, by any of their labels."""
-    good = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("is_target"))
-    return documents.select("doc_id", "text").join(good, "doc_id", "left")
+def good(labels: DataFrame) -> DataFrame:
+    """Ids that any label calls of good quality and not toxic."""
+    return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
 
 
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` scored; the target are those that ``labels`` calls good, the background is all; trigrams of the whole vocabulary."""
-    docs = marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, order=3)
+    """All ``documents`` scored, each without its own counts; the target are those that ``labels`` calls good, the background is all; trigrams of the whole vocabulary."""
+    docs, targets = table(spark, sf_dir, "documents"), good(table(spark, sf_dir, "labels"))
+    return score(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, order=3, targets=targets, leave_out=True)
 
 
 QUERIES = {"op5_cross_entropy": op5_cross_entropy}
