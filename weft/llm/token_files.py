@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -26,22 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import map_batches
+from .common import map_batches, open_store
 from .pretokens import Encoder
 
 NO_ID = -(1 << 63)
 _MANIFEST = "partition int, name string, kind string, n_docs long, n_tokens long"
 
 
-def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}")
-
-
 class TokenizerEncoder:
-    """Whole texts to ids by a file of the tokenizers library, without special tokens; their strings are ordinary text.
+    """Whole texts to ids by a file of the tokenizers library as it comes, with ``add_special_tokens=False``.
 
     A byte-level BPE without normalizer and prefix space is run on distinct pre-tokens, which gives the same ids as on whole
-    texts; any other tokenizer is run on whole texts.
+    texts. Texts that hold the string of an added token, and any other tokenizer, go through the library as wholes.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -50,7 +47,8 @@ class TokenizerEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
@@ -68,7 +66,7 @@ class TokenizerEncoder:
             self.encoder = Encoder(regex.compile(pattern).findall, encode_one, most=300_000)
 
     def encode(self, text: str) -> bytes:
-        if self.encoder:
+        if self.encoder and not (self.added and self.added.search(text)):
             return self.encoder.encode(text)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -94,7 +92,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sizes, ids, partition = None, [], [], TaskContext.get().partitionId()
-        fs, root = _open(folder)
+        fs, root = open_store(folder)
         name = f"part-{partition:06d}-{uuid.uuid4().hex}"
         out = None
         for batch in batches:
@@ -126,7 +124,7 @@ def write_token_files(
     base = 0
     for f in files:
         f["base"], base = base, base + f["n_tokens"]
-    fs, root = _open(folder)
+    fs, root = open_store(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({"end_id": end_id, "n_tokens": base, "files": files}).encode())
@@ -137,7 +135,7 @@ class TokenFile:
     """A file of ids and its offsets, memory-mapped; files of a remote store are copied to a local file first."""
 
     def __init__(self, folder: str, name: str, kind: str):
-        fs, root = _open(folder)
+        fs, root = open_store(folder)
         self.copies = []
 
         def mapped(suffix: str, kind: str) -> np.ndarray:
