@@ -76,3 +76,29 @@ def test_rows(spark):
     long = TEXT.replace("Second part", "Second " * 30_000 + "part")
     assert out == sorted([(1, "u", TEXT[:40], len(TEXT)), (2, None, "", 0), (None, "u", "", 0), (1, "u", TEXT[:40], len(TEXT)), (3, "u", TEXT[:40], len(" ".join(long.split())))], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_raw_text_and_fallbacks():
+    assert runs("<p>Let <math><mi>x</mi></math> be <svg><text>drawn</text></svg> <object>fallback</object><noscript>here</noscript></p>") == [("p", "Let x be drawn fallbackhere")]
+    assert runs("<p>a<!-- open <p>b") == [("p", "a")] and runs("x <p <!-- y") == [("#root", "x <p")]
+    assert runs("<p title=\"a'>b\">c</p><p title='>d") == [("p", "c"), ("p", "d")]
+    assert runs("<table><tr><td><p>a<tr><td>b</table>") == [("p", "a"), ("td", "b")]
+
+
+def test_time_is_linear():
+    import time
+
+    shapes = ["<a b ", "<a href=\"x' ", "<a '\"> ", "</b><i>", "<h1><b>", "<p><select><h1>", "</x>", "<", "<!", "<p \">'", "<td><tr>", "&amp", "<div class='a b'>"]
+    for shape in shapes:
+        took = []
+        for size in (200_000, 800_000):
+            page = shape * (size // len(shape)) + ">"
+            began = time.perf_counter()
+            parse(page)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 2, (shape, took)
+
+
+def test_very_long_pages():
+    for shape in ("<a b ", "<a href=\"", "<i></b>"):
+        assert len(main_texts([shape * (5_000_000 // len(shape)) + "<p>end of the page"], model())) == 1

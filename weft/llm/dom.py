@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript iframe template textarea title svg math object".split())
+RAW = set("script style iframe template textarea title".split())
 BLOCK = set(
     "html head body article section main div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address details summary select option button label dialog menu center hgroup legend".split()
@@ -31,61 +29,122 @@ _SCOPE = set("html body ul ol dl table div article section main nav aside form h
 _ENDS_P = BLOCK - {"label", "button", "option", "select", "html", "head", "body"}
 
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li nav header footer aside form table td blockquote pre figure figcaption dl body button select label #text".split()
-#: Groups of words in class, id and role.
-GROUPS = [
-    {"article", "story", "post", "entry", "hentry", "news"},
-    {"content", "main", "body", "text", "prose", "copy", "articlebody"},
-    {"title", "headline", "heading"},
-    {"nav", "navigation", "menu", "navbar", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager"},
-    {"sidebar", "aside", "side", "rail", "widget", "complementary"},
-    {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "outbrain", "taboola"},
-    {"footer", "foot", "copyright", "legal", "contentinfo"},
-    {"header", "masthead", "top", "topbar", "logo"},
-    {"comment", "comments", "reply", "replies", "disqus", "respond", "discussion"},
-    {"share", "social", "follow", "tweet", "related", "recommended", "more", "popular", "tags"},
-    {"cookie", "consent", "notice", "gdpr", "alert", "popup", "modal", "overlay", "disclaimer", "dialog"},
-    {"form", "login", "signup", "subscribe", "newsletter", "search", "register"},
-]
-_GROUP_OF = {w: i for i, g in enumerate(GROUPS) for w in g}
+#: Words in class, id, role and itemprop are hashed into so many features.
+WORDS = 128
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
 #: Ancestors that are features: their presence anywhere above.
 ABOVE = "nav header footer aside form article main ul table".split()
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
     depth: int
-    groups: int = 0
+    words: int = 0  # bits of the hashed attribute words
     text: str = ""  # of a run, with white space as it is
     links: int = 0  # characters of a run inside links
     children: list[int] = field(default_factory=list)
 
 
-def _groups(attrs: str) -> int:
+def _words(attrs: str) -> int:
     found = 0
     if "=" in attrs:
         for _, a, b, c in _ATTR.findall(attrs):
             for w in _WORD.findall(a or b or c):
-                g = _GROUP_OF.get(w.lower())
-                if g is not None:
-                    found |= 1 << g
+                found |= 1 << zlib.crc32(w.lower().encode()) % WORDS
     return found
 
 
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside quotes, or at the first at all if a quote isn't closed. Linear in the page, whatever its quotes."""
+
+    _TRIES = 64
+
+    def __init__(self, page: str):
+        self.page = page
+        self.places: list[int] | None = None
+
+    def of(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``; some ``>`` has to follow."""
+        page, here = self.page, at
+        for _ in range(self._TRIES):
+            m = _SPECIAL.search(page, here)
+            if m is None:
+                return page.find(">", at)
+            if m[0] == ">":
+                return m.start()
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                return page.find(">", at)
+        if self.places is None:
+            self._list_all()
+        i = bisect_left(self.places, at)
+        return self.ends[i] if self.ends[i] >= 0 else page.find(">", at)
+
+    def _list_all(self) -> None:
+        """For each quote and ``>`` of the page, from the last to the first, where a tag ends that goes on there outside quotes; -1: nowhere."""
+        self.places = [m.start() for m in _SPECIAL.finditer(self.page)]
+        n = len(self.places)
+        self.ends = [-1] * (n + 1)
+        following: dict[str, int] = {}
+        for i in range(n - 1, -1, -1):
+            c = self.page[self.places[i]]
+            if c == ">":
+                self.ends[i] = self.places[i]
+            else:
+                self.ends[i] = self.ends[following[c] + 1] if c in following else -1
+                following[c] = i
+
+
+class _Open:
+    """Open elements, inline ones with their block's number; knows for each name where it is open, so that nothing is searched."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+
+    def push(self, tag: str, number: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, number))
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.places[tag].pop()
+        if tag in _SCOPE:
+            self.scopes.pop()
+        return tag
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of a name is open; 0 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def ended_by(self, tag: str) -> int:
+        """The innermost element that a start tag ends, within the nearest container; 0 if there is none."""
+        names = _ENDS.get(tag, ())
+        found = max(map(self.last, names), default=0)
+        if tag in _ENDS_P:
+            found = max(found, self.last("p"))
+        return found if found >= self.scopes[-1] else 0
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, the root first: block elements, and runs of text (tag ``#text``) between block borders.
 
-    Scripts, styles, comments and other raw elements have no nodes. Ends of paragraphs, list items and table parts may be missing, as may
-    any others; ends without a start are ignored.
+    Scripts, styles, comments and other raw elements have no nodes; text in math, svg, object and noscript is text like any. Ends of paragraphs, list items and table parts may
+    be missing, as may any others; ends without a start are ignored. Time is linear in the page's length, whatever it holds.
     """
     nodes = [Node("#root", -1, 0)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with their block's number
+    opened = _Open()
+    stack = opened.stack
     parts: list[str] = []
     in_links = 0
     linked = 0
-    at = 0
+    ends = _TagEnds(page)
 
     def flush() -> None:
         nonlocal linked
@@ -99,10 +158,12 @@ def parse(page: str) -> list[Node]:
 
     def close(index: int) -> None:
         nonlocal in_links
-        if any(t in BLOCK for t, _ in stack[index:]):
-            flush()
-        in_links -= sum(t == "a" for t, _ in stack[index:])
-        del stack[index:]
+        flushed = False
+        while len(stack) > index:
+            if not flushed and stack[-1][0] in BLOCK:
+                flush()
+                flushed = True
+            in_links -= opened.pop() == "a"
 
     def add(text: str) -> None:
         nonlocal linked
@@ -112,58 +173,70 @@ def parse(page: str) -> list[Node]:
             if in_links:
                 linked += len(text)
 
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+    size, last_end = len(page), page.rfind(">")
+    at = seek = 0
+    while True:
+        here = page.find("<", seek)
+        if here < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if last_end < here:  # no tag ends any more
+            comment = page.find("<!--", here)
+            add(page[at:comment] if comment >= 0 else page[at:])
+            break
+        m = _TAG.match(page, here)
+        if m:
+            end, tag, attrs = m.groups()
+            stop = m.end()
+        elif name := _NAME.match(page, here):
+            end, tag = name.groups()
+            stop = ends.of(name.end()) + 1
+            attrs = page[name.end() : stop - 1]
+        elif page.startswith("<!--", here):
+            add(page[at:here])
+            stop = page.find("-->", here + 4)
+            at = seek = size if stop < 0 else stop + 3
             continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+        elif page[here + 1] in "!?/":
+            add(page[at:here])
+            at = seek = page.find(">", here) + 1
             continue
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        if tag in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+        else:
+            seek = here + 1
             continue
-        if tag in VOID:
+        add(page[at:here])
+        at = seek = stop
+        tag = tag.lower()
+        if end:
+            if found := opened.last(tag):
+                close(found)
+        elif tag in RAW:
+            if not attrs.endswith("/"):
+                closed = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = seek = closed.end() if closed else size
+        elif tag in VOID:
             if tag in ("br", "hr", "img"):
                 parts.append(" ")
-            continue
-        if tag in BLOCK:
-            ends = _ENDS.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = stack[i][0]
-                if open_tag in ends or (open_tag == "p" and tag in _ENDS_P):
-                    close(i)
-                    if open_tag == "p" or tag not in ("tr",):
-                        break
-                elif open_tag in _SCOPE:
+        elif tag in BLOCK:
+            while found := opened.ended_by(tag):
+                was = stack[found][0]
+                close(found)
+                if was == "p" or tag != "tr":
                     break
             flush()
             owner = stack[-1][1]
             number = len(nodes)
             nodes[owner].children.append(number)
-            nodes.append(Node(tag, owner, nodes[owner].depth + 1, _groups(attrs)))
-            stack.append((tag, number))
+            nodes.append(Node(tag, owner, nodes[owner].depth + 1, _words(attrs)))
+            opened.push(tag, number)
         else:
             in_links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            opened.push(tag, stack[-1][1])
     flush()
     return nodes
 
 
-N_FEATURES = len(TAGS) + 2 * len(GROUPS) + len(ABOVE) + 20
+N_FEATURES = len(TAGS) + 2 * WORDS + len(ABOVE) + 20
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -178,7 +251,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i, d in enumerate(nodes):
         order[i] = seen
         if d.parent >= 0:
-            above[i] = above[d.parent] | nodes[d.parent].groups
+            above[i] = above[d.parent] | nodes[d.parent].words
             tags_above[i] = tags_above[d.parent] | above_bit.get(nodes[d.parent].tag, 0)
         if d.tag == "#text":
             chars[i], links[i], words[i] = len(d.text), min(d.links, len(d.text)), d.text.count(" ") + 1
@@ -197,12 +270,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         if (t := _TAG_OF.get(d.tag)) is not None:
             x[i, t] = 1
     at = len(TAGS)
-    own = np.array([d.groups for d in nodes], np.int64)
-    up = np.array(above, np.int64)
-    for g in range(len(GROUPS)):
-        x[:, at + g] = own >> g & 1
-        x[:, at + len(GROUPS) + g] = up >> g & 1
-    at += 2 * len(GROUPS)
+    for masks in ([d.words for d in nodes], above):
+        x[:, at : at + WORDS] = np.unpackbits(np.frombuffer(b"".join(m.to_bytes(WORDS // 8, "little") for m in masks), np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        at += WORDS
     tags = np.array(tags_above, np.int64)
     for k in range(len(ABOVE)):
         x[:, at + k] = tags >> k & 1

@@ -27,6 +27,8 @@ TRAINING_PAGES = 450
 #: Marks main text in training pages; taken out before features are made.
 _MARK = ""
 _LIMIT = 6.0
+#: Nodes that are scored together, but for a page that has more.
+_NODES = 4096
 
 
 # --- training pages --------------------------------------------------------------------------------------------
@@ -196,21 +198,31 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
 
 def main_texts(pages: list[str], trees: Trees) -> list[str]:
     """The main text of each page; empty if it has none."""
-    parsed = [parse(p) for p in pages]
-    made = [features(nodes) for nodes in parsed]
-    scores = trees.log_odds(np.concatenate(made)) if made else np.empty(0)
-    out, at = [], 0
-    for nodes in parsed:
-        kept = decode(nodes, scores[at : at + len(nodes)])
-        at += len(nodes)
-        out.append(" ".join(" ".join(d.text.split()) for d, k in zip(nodes, kept, strict=True) if k and d.tag == "#text"))
+    out: list[str] = []
+    parsed: list[list[Node]] = []
+
+    def flush() -> None:
+        made = [features(nodes) for nodes in parsed]
+        scores, at = trees.log_odds(np.concatenate(made)), 0
+        for nodes in parsed:
+            kept = decode(nodes, scores[at : at + len(nodes)])
+            at += len(nodes)
+            out.append(" ".join(" ".join(d.text.split()) for d, k in zip(nodes, kept, strict=True) if k and d.tag == "#text"))
+        parsed.clear()
+
+    for page in pages:
+        parsed.append(parse(page))
+        if sum(map(len, parsed)) > _NODES:
+            flush()
+    if parsed:
+        flush()
     return out
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Id, url, ``text`` (main text, empty if there is none) and ``n_chars`` (its code points) of every page.
 
-    The whole of each page is read; null is empty. Character references are decoded, white space inside a block becomes one space,
+    The whole of each page is read; null is empty. Character references are decoded, white space (as Unicode has it, no-break spaces included) inside a block becomes one space,
     and blocks are joined by one space in page order. Repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
     trees = model()
@@ -219,7 +231,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             many = [p or "" for p in batch.column(2).to_pylist()]
-            found = [t for i in range(0, len(many), 64) for t in main_texts(many[i : i + 64], trees)]
+            found = main_texts(many, trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=names)
 
     source = pages.select(pages[id_column].cast("long"), pages[url_column].cast("string"), pages[html_column].cast("string"))
