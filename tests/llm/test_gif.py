@@ -101,3 +101,57 @@ def test_frames_as_rows(spark):
     assert sorted(r["id"] for r in out if r["error"]) == [2, 3]
     first = next(r for r in out if r["id"] == 1 and r["frame"] == 0)
     assert first["hist_r"][ord("x") >> 4] == 64 * 1024 == sum(first["hist_r"]) and len(first["rgba"]) == 64 * 1024 * 4
+
+
+def test_broken_files_are_rows(spark):
+    whole = encode(padded(b"some text"))
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    large = whole[:-1] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 60000, 60000, 0) + b"\x08\x00\x3b"
+    broken = [b"GIF89a", huge, large, *(whole[:n] for n in range(len(whole))), whole[:800] + b"\xff" * 40]
+    out = decode_frames(spark.createDataFrame(list(enumerate(broken)), "id long, media binary"), "id", "media").collect()
+    assert sorted(r["id"] for r in out) == list(range(len(broken))) and all(r["error"] and r["frame"] is None for r in out)
+
+
+def plain_lzw(data, depth):
+    """A decoder that reads one bit after the other and keeps a dictionary of strings."""
+    bits = [byte >> i & 1 for byte in data for i in range(8)]
+    clear, at, out = 1 << depth, 0, bytearray()
+    table, width, before = {}, depth + 1, None
+    while True:
+        code = sum(b << i for i, b in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, before = {i: bytes([i]) for i in range(clear)} | {clear: b"", clear + 1: b""}, depth + 1, None
+            continue
+        if code == clear + 1:
+            return bytes(out)
+        entry = table[code] if code in table else before + before[:1]
+        out += entry
+        if before is not None and len(table) < 4096:
+            table[len(table)] = before + entry[:1]
+        width = min(12, max(depth + 1, len(table).bit_length()))
+        before = entry
+
+
+def test_stored_media_by_another_decoder():
+    r = np.random.default_rng(3)
+    for raw in (b"", b"abc" * 500, "äöü ".encode() * 300, r.integers(0, 256, 9000, np.uint8).tobytes(), b"x" * 70_000):
+        media, payload, at, got = encode(padded(raw)), padded(raw), 13 + 768, b""
+        assert media[:6] == b"GIF89a" and media[-1] == 0x3B
+        while media[at] != 0x3B:
+            if media[at] == 0x21:
+                at += 2
+            else:
+                assert media[at] == 0x2C and media[at + 9] == 0 and media[at + 10] == 8
+                at += 11
+                stream = b""
+                while media[at]:
+                    stream += media[at + 1 : at + 1 + media[at]]
+                    at += 1 + media[at]
+                at += 1
+                got += plain_lzw(stream, 8)
+                continue
+            while media[at]:
+                at += 1 + media[at]
+            at += 1
+        assert got == payload

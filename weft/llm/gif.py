@@ -183,11 +183,19 @@ def build(width: int, height: int, images: list[Image], palette: bytes = _GREY)
     return b"".join([*out, b"\x3b"])
 
 
-def parse(data: bytes) -> tuple[int, int, list[Image]]:
-    """Width and height of the canvas and the images of a file."""
+#: Pixels of a canvas or image at most; a file that asks for more is an error.
+MAX_PIXELS = 1 << 26
+
+
+def parse(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[Image]]:
+    """Width and height of the canvas and the images of a file; whatever is wrong with it is a ValueError."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
+    if len(data) < 13:
+        raise ValueError("the file ends early")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > max_pixels:
+        raise ValueError(f"a canvas of {width} x {height} pixels")
     at = 13
 
     def colours(bits: int) -> np.ndarray:
@@ -221,6 +229,8 @@ def parse(data: bytes) -> tuple[int, int, list[Image]]:
             elif kind == 0x2C:
                 left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at)
                 at += 9
+                if w * h > max_pixels:
+                    raise ValueError(f"an image of {w} x {h} pixels")
                 own = colours(packed & 7) if packed & 0x80 else shared
                 if own is None:
                     raise ValueError("an image without a palette")
@@ -328,33 +338,31 @@ FRAMES = (
 )
 
 
-def decode_frames(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
+def decode_frames(df: DataFrame, id_column: str, media_column: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row per frame of every GIF in ``media_column``: the composited canvas (RGBA) and its colour histograms.
 
-    A null, empty or broken file gives one row with null frame columns and the reason in ``error``; frames before the fault
-    are not given. Other columns are not read.
+    A null, empty or broken file, and one with a canvas or image of more than ``max_pixels`` pixels, gives one row with null frame columns and the reason in ``error``; frames
+    before the fault are not given. A file without images gives no rows; repeated rows are decoded each, null ids as well; an empty table gives no rows. Other columns are not read.
     """
+    kinds = [pa.int32()] * 4 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.string()]
+    names = [id_column, *(c.strip().split()[0] for c in FRAMES.split(", "))]
 
-    def rows(data: bytes | None) -> list[tuple]:
+    def rows(data: bytes | None) -> Iterator[tuple]:
         try:
             if not data:
                 raise ValueError("no data")
-            width, height, images = parse(data)
-            return [(k, i.delay_ms, width, height, canvas.tobytes(), *histograms(canvas), None) for k, (i, canvas) in enumerate(frames(width, height, images))]
+            width, height, images = parse(data, max_pixels)
         except ValueError as e:
-            return [(None,) * 8 + (str(e),)]
-
-    kinds = [pa.int32()] * 4 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.string()]
-    names = [id_column, *(c.strip().split()[0] for c in FRAMES.split(", "))]
+            yield (None,) * 8 + (str(e),)
+            return
+        for k, (i, canvas) in enumerate(frames(width, height, images)):
+            yield (k, i.delay_ms, width, height, canvas.tobytes(), *histograms(canvas), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if made := rows(data):
-                    columns = zip(*made, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(made), batch.schema.field(0).type), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names
-                    )
+                for made in rows(data):
+                    yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.field(0).type), *(pa.array([v], k) for v, k in zip(made, kinds, strict=True))], names=names)
 
     kind = dict(df.dtypes)[id_column]
     return map_batches(df.select(df[id_column], df[media_column].cast("binary")), run, f"{id_column} {kind}, {FRAMES}")
