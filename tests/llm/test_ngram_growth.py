@@ -55,3 +55,43 @@ def encoder_ranks():
     from weft.llm.bpe import read_ranks
 
     return read_ranks(PATH)
+
+
+def test_leaving_a_documents_own_counts_out(spark):
+    """Against models that are counted anew without each document; chunks of a few documents."""
+    from weft.llm import ngram
+
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["one", "two", "three", "of", "Straße"]) for _ in range(r.randint(0, 12)))) for i in range(24)] + [(24, "one two three"), (25, "one two three"), (26, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    targets = spark.createDataFrame([(i,) for i in (1, 3, 3, 4, 7, 24, 99)] + [(None,)], "doc_id long")
+    ids = {i: np.frombuffer(encoder(PATH, P.PATTERN).encode(t or ""), "<u4").tolist() for i, t in rows}
+    size = len(encoder_ranks())
+
+    def loss(text, which):
+        c, h = Counter(), Counter()
+        for i in which:
+            padded = [size, size, *ids[i]]
+            for at in range(2, len(padded)):
+                for k in (1, 2, 3):
+                    c[tuple(padded[at - k + 1 : at + 1])] += 1
+                    h[tuple(padded[at - k + 1 : at]), k] += 1
+        total = sum(len(ids[i]) for i in which) + ADDED * size
+
+        def p(g):
+            return (c[g] + ADDED) / total if len(g) == 1 else (c[g] + PRIOR * p(g[1:])) / (h[g[:-1], len(g)] + PRIOR)
+
+        return -sum(math.log(p(tuple([size, size, *text][k : k + 3]))) for k in range(len(text))) / len(text)
+
+    before, ngram.CHUNK = ngram.CHUNK, 40
+    try:
+        out = {x["doc_id"]: x for x in score(df, PATH, P.PATTERN, order=3, targets=targets, leave_out=True).collect()}
+    finally:
+        ngram.CHUNK = before
+    good = {1, 3, 4, 7, 24}
+    assert sorted(out) == sorted(ids)
+    for i, text in ids.items():
+        if text:
+            assert out[i]["target_loss"] == pytest.approx(loss(text, good - {i})) and out[i]["background_loss"] == pytest.approx(loss(text, set(ids) - {i}))
+        else:
+            assert out[i]["difference"] is None

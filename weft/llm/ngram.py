@@ -18,18 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import Side, drop, map_batches, with_places, written
+from .common import Side, map_batches, with_places, written
 from .pretokens import Encoder
 
 #: Weight of the next shorter model in an n-gram's context, in tokens, and the constant added to each unigram.
 PRIOR, ADDED = 32.0, 0.5
-_TOGETHER = 1 << 20
-#: Bits of a token in the number of an n-gram of up to three.
-_BITS = 21
 #: Tokens of a chunk, but for a document that has more; distinct n-grams of the corpus are counted in at least one bucket for so many tokens.
 CHUNK = 1 << 21
 
@@ -51,8 +48,11 @@ def encoder(rank_file: str, pattern: str, size: int | None = None) -> Encoder:
     return _encoders[key]
 
 
+_CHUNK_ROW = "chunk long, doc_ids array<long>, marked array<boolean>, sizes array<long>, ids binary"
+
+
 def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """``chunk``, ``doc_id``, ``is_target``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole text; null is empty.
+    """Every whole text as token ids, null as an empty one; a row is a chunk of documents: ``chunk``, ``doc_ids``, ``marked``, ``sizes`` (in tokens) and the packed ``ids``.
 
     ``targets`` has the ``doc_id`` of the marked documents; without it they have a column ``is_target``.
     """
@@ -62,68 +62,51 @@ def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = Non
     if targets is not None:
         of = targets.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
         marks = Side(placed.select("file", "at", doc_id).join(of, F.col("doc_id") == F.col("_id"), "left_semi").select("file", "at"), "targets", targets.count())
-    names = ["chunk", "doc_id", "is_target", "n_tokens", "ids"]
+    names = [c.split()[0] for c in _CHUNK_ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunk, held = None, 0, CHUNK
+        own = None
+        held: list[tuple] = []
+        total = 0
+
+        def chunk() -> pa.RecordBatch:
+            number = xxhash.xxh3_64_intdigest(f"{held[0][0]} {held[0][1]}") >> 1
+            ids = np.frombuffer(b"".join(h[4] for h in held), "<u4")
+            row = [number, [h[2] for h in held], [h[3] for h in held], [len(h[4]) // 4 for h in held], _pack(ids)]
+            held.clear()
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
         if marks is not None:
             parts = ((batch, pa.array(lo < hi)) for batch, _, lo, hi in marks.beside(batches))
         else:
             parts = ((batch, batch.column(4)) for batch in batches)
         for batch, marked in parts:
             own = own or encoder(rank_file, pattern, size)
-            ids = [own.encode(t or "") for t in batch.column(3).to_pylist()]
-            chunks = np.empty(len(ids), np.int64)
-            for k, i in enumerate(ids):
-                if held >= CHUNK:
-                    chunk, held = xxhash.xxh3_64_intdigest(f"{batch.column(0)[k]} {batch.column(1)[k]}") >> 1, 0
-                chunks[k], held = chunk, held + len(i) // 4
-            yield pa.RecordBatch.from_arrays([pa.array(chunks), batch.column(2), marked, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
+            for file, at, doc_id, text, mark in zip(*(c.to_pylist() for c in (*batch.columns[:4], marked)), strict=True):
+                held.append((file, at, doc_id, mark, ids := own.encode(text or "")))
+                total += len(ids) // 4
+                if total >= CHUNK:
+                    yield chunk()
+                    total = 0
+        if held:
+            yield chunk()
 
     marked = F.lit(False) if targets is not None else F.coalesce(F.col("doc.is_target").cast("boolean"), F.lit(False))
     source = placed.select("file", "at", doc_id, F.col("doc.text").cast("string").alias("text"), marked.alias("is_target"))
-    return map_batches(source, run, "chunk long, doc_id long, is_target boolean, n_tokens long, ids binary")
-
-
-def _grams(ids: bytes, size: int, order: int) -> np.ndarray:
-    """Every token with the ``order`` - 1 before it as one number; what comes before a text is number ``size``."""
-    own = np.frombuffer(ids, "<u4").astype(np.int64)
-    padded = np.concatenate([np.full(order - 1, size, np.int64), own])
-    out = np.zeros(len(own), np.int64)
-    for k in range(order):
-        out = out << _BITS | padded[k : k + len(own)]
-    return out
+    return map_batches(source, run, _CHUNK_ROW)
 
 
 def counts(found: DataFrame, size: int, order: int) -> DataFrame:
-    """``gram``, ``target`` and ``background``: how often each n-gram stands in marked documents and in all."""
+    """``gram`` (a number), ``target`` and ``background``: how often each n-gram of an order stands in marked documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[bool, np.ndarray]] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            gram, at = np.unique(np.concatenate([g for _, g in waiting]), return_inverse=True)
-            marked = np.concatenate([np.full(len(g), m) for m, g in waiting])
-            waiting.clear()
-            sums = [np.bincount(x, minlength=len(gram)).astype(np.int64) for x in (at[marked], at)]
-            return pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, sums)], names=["gram", "target", "background"])
-
-        for batch in batches:
-            for marked, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                waiting.append((bool(marked), own := _grams(ids, size, order)))
-                total += len(own)
-                if total > _TOGETHER:
-                    yield flush()
-                    total = 0
-        if waiting:
-            yield flush()
-
-    return _summed(map_batches(found.select("is_target", "ids"), run, "gram long, target long, background long"), F.col("gram"))
+        for _, own in _chunks(batches, size, order):
+            keys, sums = own.counts()[order]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["gram", "target", "background"])
 
-
-def _summed(rows: DataFrame, key: Column) -> DataFrame:
-    return rows.groupBy(key.alias("gram")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    rows = map_batches(found, run, "gram long, target long, background long")
+    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
 def losses(bigrams: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -165,71 +148,103 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(n)
 
 
+def _runs_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.empty(0, np.int64)
+
+
 class _Chunk:
-    """Documents of one chunk, and their n-grams of all orders up to ``order``, one for each token."""
-
-    def __init__(self, rows: list[tuple], size: int, order: int):
-        self.rows = rows
-        sizes = np.array([len(ids) // 4 for *_, ids in rows], np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.owner = np.repeat(np.arange(len(rows)), sizes)
-        self.marked = np.repeat(np.array([bool(m) for _, m, _ in rows]), sizes)
-        self.grams = {k: np.concatenate([np.empty(0, np.int64), *(_grams(ids, size, k) for *_, ids in rows)]) for k in range(1, order + 1)}
-        self.order = order
-
-    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams of order k, and how often each stands in marked documents and in all, then as what comes before a token there."""
-        keys, marked, before = self.grams[k], self.marked, np.zeros(len(self.grams[k]), bool)
-        if k < self.order:
-            keys, marked, before = np.concatenate([keys, self.grams[k + 1] >> _BITS]), np.tile(marked, 2), np.repeat([False, True], len(keys))
-        if not len(keys):
-            return keys, np.empty((0, 4), np.int64)
-        order = np.argsort(keys)
-        keys, marked, before = keys[order], marked[order], before[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = [np.add.reduceat(x.astype(np.int64), first) for x in (marked & ~before, ~before, marked & before, before)]
-        return keys[first], np.stack(sums, 1)
+    """Documents of one chunk, and for each token the n-grams that end there: the token and those before it as one number; what comes before a text is number ``size``."""
+
+    def __init__(self, doc_ids: list, marked: list[bool], sizes: list[int], ids: np.ndarray, size: int, order: int):
+        self.doc_ids, self.order, self.bits = doc_ids, order, size.bit_length()
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes = np.array(sizes, np.int64)
+        self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.marked = np.repeat(np.array(marked, bool), self.sizes)
+        self.first = (np.cumsum(self.sizes) - self.sizes)[self.owner] == np.arange(len(ids))
+        self.none = sum(size << self.bits * k for k in range(order))  # as many of it as there are tokens in an n-gram
+        self.grams = {1: ids.astype(np.int64)}
+        for k in range(2, order + 1):
+            self.grams[k] = self.shifted(self.grams[k - 1], self.context(k - 1)) << self.bits | self.grams[1]
+
+    def context(self, k: int) -> int:
+        """The number of k missing tokens."""
+        return self.none & ((1 << self.bits * k) - 1)
+
+    def shifted(self, values: np.ndarray, at_first: int) -> np.ndarray:
+        """The value of the token before, within a document."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = at_first
+        return out
+
+    def counts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By order the distinct n-grams, sorted, and how often each stands in marked documents and in all, then as what comes before a token there."""
+        if self.made:
+            return self.made
+        out = self.made
+        for k in range(self.order, 0, -1):
+            both = np.sort(self.grams[k] << 1 | self.marked)
+            begin = _runs_of(both >> 1)
+            keys = both[begin] >> 1
+            own = np.stack([np.add.reduceat(both & 1, begin) if len(begin) else begin, np.diff(begin, append=len(both))], 1)
+            if k < self.order:
+                longer, sums = out[k + 1]
+                contexts = longer >> self.bits
+                follows = sums[:, 1] > 0  # the others only come before tokens themselves
+                contexts, sums = contexts[follows], sums[follows]
+                begin = _runs_of(contexts)
+                contexts, before = contexts[begin], np.add.reduceat(sums[:, :2], begin, axis=0) if len(begin) else sums[:, :2]
+                every = np.union1d(keys, contexts)
+                table = np.zeros((len(every), 4), np.int64)
+                table[np.searchsorted(every, keys), :2] = own
+                table[np.searchsorted(every, contexts), 2:] = before
+                out[k] = every, table
+            else:
+                out[k] = keys, np.concatenate([own, np.zeros_like(own)], 1)
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[int, _Chunk]]:
-    rows: list[tuple] = []
-    last = None
     for batch in batches:
-        for chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if chunk != last and rows:
-                yield last, _Chunk(rows, size, order)
-                rows = []
-            last = chunk
-            rows.append(tuple(row))
-    if rows:
-        yield last, _Chunk(rows, size, order)
+        for i in range(batch.num_rows):
+            chunk, doc_ids, marked, sizes, ids = (c[i].as_py() for c in batch.columns)
+            yield chunk, _Chunk(doc_ids, marked, sizes, _unpack(ids, "<u4", sum(sizes)), size, order)
+
+
+def _in_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which sorted keys lie by bucket, and the bucket of each in that order."""
+    bucket = _bucket(keys, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, bucket[by]
 
 
 _BLOCK = "bucket int, chunk long, k int, n int, keys binary, counts binary"
-_SUMS = "file long, at long, n int, keys binary, counts binary"
+_SUMS = "file long, at long, bucket int, n int, counts binary"
 
 
 def _blocks(found: DataFrame, size: int, order: int, buckets: int) -> DataFrame:
     """Each chunk's distinct n-grams and their counts, in blocks by bucket."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, own in _chunks(batches, size, order):
-            for k in range(1, order + 1):
-                keys, sums = own.counts(k)
-                bucket = _bucket(keys, buckets)
-                by = np.argsort(bucket, kind="stable")
-                keys, sums, bucket = keys[by], sums[by].astype("<u4"), bucket[by]
-                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, int)
-                made = [(int(bucket[a]), chunk, k, int(b - a), _pack_keys(keys[a:b]), _pack(sums[a:b].ravel())) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                if made:
-                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+            for k, (keys, sums) in own.counts().items():
+                if not len(keys):
+                    continue
+                by, bucket = _in_buckets(keys, buckets)
+                keys, sums = keys[by], sums[by].astype("<u4")
+                edges = [*_runs_of(bucket).tolist(), len(keys)]
+                made = [(int(bucket[a]), chunk, k, b - a, _pack_keys(keys[a:b]), _pack(sums[a:b].ravel())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
-    return map_batches(found.select("chunk", "doc_id", "is_target", "ids"), run, _BLOCK)
+    return map_batches(found, run, _BLOCK)
 
 
 def _summed_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The blocks with the sums over all chunks in place of a chunk's own counts; ``file`` is the chunk and ``at`` the order."""
+    """Of each block the sums over all chunks of its n-grams, in its order; ``file`` is the chunk and ``at`` the order."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple]] = {}
@@ -237,46 +252,43 @@ def _summed_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
             for bucket, chunk, k, n, keys, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault((bucket, k), []).append((chunk, n, keys, sums))
         while held:
-            (_, k), parts = held.popitem()
-            every = np.concatenate([_unpack_keys(keys, n) for _, n, keys, _ in parts])
-            distinct, at = np.unique(every, return_inverse=True)
+            (bucket, k), parts = held.popitem()
+            distinct, at = np.unique(np.concatenate([_unpack_keys(keys, n) for _, n, keys, _ in parts]), return_inverse=True)
             totals = np.zeros((len(distinct), 4), "<u8")
-            begin = 0
-            for _, n, _, sums in parts:  # a block has each key once
-                totals[at[begin : begin + n]] += _unpack(sums, "<u4", 4 * n).reshape(n, 4)
-                begin += n
-            begin = 0
-            for chunk, n, keys, _ in parts:
-                raw = _pack(totals[at[begin : begin + n]].ravel())
-                begin += n
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([k], pa.int64()), pa.array([n], pa.int32()), pa.array([keys], pa.binary()), pa.array([raw], pa.binary())], names=[c.split()[0] for c in _SUMS.split(", ")])
+            ends = np.cumsum([n for _, n, _, _ in parts]).tolist()
+            for (_, n, _, sums), end in zip(parts, ends, strict=True):  # a block has each key once
+                totals[at[end - n : end]] += _unpack(sums, "<u4", 4 * n).reshape(n, 4)
+            made = [(chunk, k, bucket, n, _pack(totals[at[end - n : end]].ravel())) for (chunk, n, _, _), end in zip(parts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SUMS.split(", ")])
 
     return map_batches(blocks.repartition(buckets, "bucket"), run, _SUMS)
 
 
-def _own_counts(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each place how often its key stands in the place's own document."""
-    out = np.empty(len(keys), np.int64)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        _, at, n = np.unique(keys[a:b], return_inverse=True, return_counts=True)
-        out[a:b] = n[at]
-    return out
-
-
-def _chunk_losses(own: _Chunk, sums: dict[int, tuple[np.ndarray, np.ndarray]], totals: tuple[int, int], size: int, leave_out: bool) -> list[np.ndarray]:
-    """Summed target and background losses of each document of a chunk."""
+def _chunk_losses(own: _Chunk, answers: dict[int, np.ndarray], totals: tuple[int, int], size: int, leave_out: bool) -> list[np.ndarray]:
+    """Summed target and background losses of each document of a chunk; ``answers`` has the sums of the chunk's n-grams in their order by bucket."""
+    n = len(own.owner)
+    last = (np.cumsum(own.sizes) - 1)[own.owner]  # the last token of each token's document
+    tables = own.counts()
+    at, mine = {}, {}
+    for k, grams in own.grams.items():
+        order = np.argsort(grams, kind="stable")  # a document's places stay together below each key
+        keys, owner = grams[order], own.owner[order]
+        begin = _runs_of(keys)
+        at[k], mine[k] = np.empty(n, np.int64), np.empty(n, np.int64)
+        at[k][order] = np.repeat(np.searchsorted(tables[k][0], keys[begin]), np.diff(begin, append=n))
+        begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
+        length = np.diff(begin, append=n)
+        mine[k][order] = np.repeat(length, length)
     out = []
-    lengths = np.diff(own.bounds)[own.owner]
-    places = {k: np.searchsorted(sums[k][0], own.grams[k]) for k in own.grams}
-    contexts = {k: np.searchsorted(sums[k - 1][0], own.grams[k] >> _BITS) for k in own.grams if k > 1}
-    mine = {k: _own_counts(places[k], own.bounds) if leave_out else 0 for k in places}
-    before = {k: _own_counts(contexts[k], own.bounds) if leave_out else 0 for k in contexts}
     for which, total in enumerate(totals):
-        less = (own.marked if which == 0 else 1) if leave_out else 0
-        p = (sums[1][1][places[1], which] - less * mine[1] + ADDED) / (total - less * lengths + ADDED * size)
+        less = (own.marked.astype(np.int64) if which == 0 else 1) if leave_out else 0
+        p = (answers[1][at[1], which] - less * mine[1] + ADDED) / (total - less * own.sizes[own.owner] + ADDED * size)
         for k in range(2, own.order + 1):
-            p = (sums[k][1][places[k], which] - less * mine[k] + PRIOR * p) / (sums[k - 1][1][contexts[k], 2 + which] - less * before[k] + PRIOR)
-        out.append(np.bincount(own.owner, -np.log(p), len(own.rows)))
+            # what comes before a token is the shorter n-gram that ends at the token before, but for a document's last one, that nothing follows
+            before = own.shifted(at[k - 1], int(np.searchsorted(tables[k - 1][0], own.context(k - 1))))
+            often = own.shifted(mine[k - 1] - (at[k - 1] == at[k - 1][last]), 1)
+            p = (answers[k][at[k], which] - less * mine[k] + PRIOR * p) / (answers[k - 1][before, 2 + which] - less * often + PRIOR)
+        out.append(np.bincount(own.owner, -np.log(p), len(own.sizes)))
     return out
 
 
@@ -286,34 +298,35 @@ def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None
     ``docs`` has ``doc_id``, ``text`` and ``is_target`` (null: not marked), or ``targets`` the ids of the marked ones. ``size`` is the number of ranks (None: all), ``order``
     1 to 3. With ``leave_out`` a document is scored without its own counts, so that no text is rated by a model that has seen it; equal texts still count for each other. A text
     without tokens has null losses. Without any marked document the target model is flat. Repeated rows count and are scored each, null ids
-    as well; an empty table gives no rows; other columns are not read.
+    as well; an empty table gives no rows; other columns are not read. A chunk is held in memory: some 100 bytes a token, so a text of 100 MB takes about 2.5 GB.
     """
     own_size = size or len(read_ranks(rank_file))
     found = written(tokens(docs, rank_file, pattern, size, targets), "tokens")
-    marked, every = (int(x or 0) for x in found.agg(F.sum(F.when(F.col("is_target"), F.col("n_tokens"))), F.sum("n_tokens")).first())
+    lengths = F.arrays_zip("marked", "sizes")
+    sums_of = lambda only: F.sum(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + F.when(x["marked"] | F.lit(not only), x["sizes"]).otherwise(0)))
+    marked, every = (int(x or 0) for x in found.agg(sums_of(True), sums_of(False)).first())
     buckets = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every // CHUNK))
-    counted = written(_summed_blocks(_blocks(found, own_size, order, buckets), buckets), "sums")
-    sums = Side(counted, "sums-by-chunk", every // 64)
-    drop(counted)
+    sums = Side(_summed_blocks(_blocks(found, own_size, order, buckets), buckets), "sums-by-chunk", every // 64)
     names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
 
+    def answer(chunk: int, own: _Chunk) -> dict[int, np.ndarray]:
+        table = sums._of(chunk, 0)
+        columns = [table.column(c).to_pylist() for c in ("at", "bucket", "n", "counts")]
+        out = {}
+        for k, (keys, _) in own.counts().items():
+            parts = sorted((bucket, n, raw) for at, bucket, n, raw in zip(*columns, strict=True) if at == k)
+            by, _ = _in_buckets(keys, buckets)
+            out[k] = np.empty((len(keys), 4), np.int64)
+            out[k][by] = np.concatenate([_unpack(raw, "<u8", 4 * n).reshape(n, 4).astype(np.int64) for _, n, raw in parts])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, own in _chunks(batches, own_size, order):
-            got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            table = sums._of(chunk, 0) if len(own.owner) else None
-            columns = [] if table is None else [table.column(c).to_pylist() for c in ("at", "n", "keys", "counts")]
-            for k in range(1, order + 1):
-                parts = [(_unpack_keys(keys, n), _unpack(raw, "<u8", 4 * n).reshape(n, 4).astype(np.int64)) for at, n, keys, raw in zip(*columns, strict=True) if at == k]
-                if parts:
-                    keys, values = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-                    by = np.argsort(keys)
-                    got[k] = keys[by], values[by]
-            sizes = np.diff(own.bounds)
-            losses = _chunk_losses(own, got, (marked, every), own_size, leave_out) if len(own.owner) else [np.zeros(len(sizes))] * 2
-            none = sizes == 0
+            losses = _chunk_losses(own, answer(chunk, own), (marked, every), own_size, leave_out) if len(own.owner) else [np.zeros(len(own.sizes))] * 2
+            none = own.sizes == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in own.rows], pa.int64()), pa.array(sizes), *(pa.array(x / np.maximum(sizes, 1), mask=none) for x in losses)], names=names
+                [pa.array(own.doc_ids, pa.int64()), pa.array(own.sizes), *(pa.array(x / np.maximum(own.sizes, 1), mask=none) for x in losses)], names=names
             )
 
-    means = map_batches(found.select("chunk", "doc_id", "is_target", "ids"), run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    means = map_batches(found, run, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return means.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
