@@ -28,7 +28,7 @@ from .pretokens import Encoder
 #: Weight of the next shorter model in an n-gram's context, in tokens, and the constant added to each unigram.
 PRIOR, ADDED = 32.0, 0.5
 #: Tokens of a chunk, but for a document that has more; distinct n-grams of the corpus are counted in at least one bucket for so many tokens.
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 
 
 _encoders: dict[tuple[str, str, int | None], Encoder] = {}
@@ -72,7 +72,7 @@ def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = Non
         def chunk() -> pa.RecordBatch:
             number = xxhash.xxh3_64_intdigest(f"{held[0][0]} {held[0][1]}") >> 1
             ids = np.frombuffer(b"".join(h[4] for h in held), "<u4")
-            row = [number, [h[2] for h in held], [h[3] for h in held], [len(h[4]) // 4 for h in held], _pack(ids)]
+            row = [number, [h[2] for h in held], [h[3] for h in held], [len(h[4]) // 4 for h in held], _pack_ids(ids)]
             held.clear()
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
@@ -135,6 +135,18 @@ def _unpack(raw: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit integers where they fit, compressed as they follow one another: words recur as sequences."""
+    small = ids.astype("<u2")
+    fits = bool((small == ids).all())
+    return bytes([fits]) + pa.Codec("zstd", compression_level=3).compress((small if fits else ids.astype("<u4")).tobytes(), asbytes=True)
+
+
+def _unpack_ids(raw: bytes, n: int) -> np.ndarray:
+    kind = "<u2" if raw[0] else "<u4"
+    return np.frombuffer(pa.decompress(raw[1:], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=0).astype("<u8"))
 
@@ -160,7 +172,7 @@ class _Chunk:
         self.doc_ids, self.order, self.bits = doc_ids, order, size.bit_length()
         self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.sizes = np.array(sizes, np.int64)
-        self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         self.marked = np.repeat(np.array(marked, bool), self.sizes)
         self.first = (np.cumsum(self.sizes) - self.sizes)[self.owner] == np.arange(len(ids))
         self.none = sum(size << self.bits * k for k in range(order))  # as many of it as there are tokens in an n-gram
@@ -210,12 +222,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterato
     for batch in batches:
         for i in range(batch.num_rows):
             chunk, doc_ids, marked, sizes, ids = (c[i].as_py() for c in batch.columns)
-            yield chunk, _Chunk(doc_ids, marked, sizes, _unpack(ids, "<u4", sum(sizes)), size, order)
+            yield chunk, _Chunk(doc_ids, marked, sizes, _unpack_ids(ids, sum(sizes)), size, order)
 
 
-def _in_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which sorted keys lie by bucket, and the bucket of each in that order."""
-    bucket = _bucket(keys, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+def _in_buckets(keys: np.ndarray, shift: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which sorted keys lie by bucket, and the bucket of each in that order; n-grams that differ in their last token alone (``shift`` bits) stay together and pack well."""
+    bucket = _bucket(keys >> shift, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     by = np.argsort(bucket, kind="stable")
     return by, bucket[by]
 
@@ -229,14 +241,15 @@ def _blocks(found: DataFrame, size: int, order: int, buckets: int) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # of a worker that has encoded texts before
         for chunk, own in _chunks(batches, size, order):
             for k, (keys, sums) in own.counts().items():
                 if not len(keys):
                     continue
-                by, bucket = _in_buckets(keys, buckets)
+                by, bucket = _in_buckets(keys, own.bits if k > 1 else 0, buckets)
                 keys, sums = keys[by], sums[by].astype("<u4")
                 edges = [*_runs_of(bucket).tolist(), len(keys)]
-                made = [(int(bucket[a]), chunk, k, b - a, _pack_keys(keys[a:b]), _pack(sums[a:b].ravel())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                made = [(int(bucket[a]), chunk, k, b - a, _pack_keys(keys[a:b]), _pack(sums[a:b].T.ravel())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
     return map_batches(found, run, _BLOCK)
@@ -257,8 +270,8 @@ def _summed_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
             totals = np.zeros((len(distinct), 4), "<u8")
             ends = np.cumsum([n for _, n, _, _ in parts]).tolist()
             for (_, n, _, sums), end in zip(parts, ends, strict=True):  # a block has each key once
-                totals[at[end - n : end]] += _unpack(sums, "<u4", 4 * n).reshape(n, 4)
-            made = [(chunk, k, bucket, n, _pack(totals[at[end - n : end]].ravel())) for (chunk, n, _, _), end in zip(parts, ends, strict=True)]
+                totals[at[end - n : end]] += _unpack(sums, "<u4", 4 * n).reshape(4, n).T
+            made = [(chunk, k, bucket, n, _pack(totals[at[end - n : end]].T.ravel())) for (chunk, n, _, _), end in zip(parts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SUMS.split(", ")])
 
     return map_batches(blocks.repartition(buckets, "bucket"), run, _SUMS)
@@ -274,7 +287,7 @@ def _chunk_losses(own: _Chunk, answers: dict[int, np.ndarray], totals: tuple[int
         order = np.argsort(grams, kind="stable")  # a document's places stay together below each key
         keys, owner = grams[order], own.owner[order]
         begin = _runs_of(keys)
-        at[k], mine[k] = np.empty(n, np.int64), np.empty(n, np.int64)
+        at[k], mine[k] = np.empty(n, np.int32), np.empty(n, np.int32)
         at[k][order] = np.repeat(np.searchsorted(tables[k][0], keys[begin]), np.diff(begin, append=n))
         begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
         length = np.diff(begin, append=n)
@@ -315,12 +328,13 @@ def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None
         out = {}
         for k, (keys, _) in own.counts().items():
             parts = sorted((bucket, n, raw) for at, bucket, n, raw in zip(*columns, strict=True) if at == k)
-            by, _ = _in_buckets(keys, buckets)
+            by, _ = _in_buckets(keys, own.bits if k > 1 else 0, buckets)
             out[k] = np.empty((len(keys), 4), np.int64)
-            out[k][by] = np.concatenate([_unpack(raw, "<u8", 4 * n).reshape(n, 4).astype(np.int64) for _, n, raw in parts])
+            out[k][by] = np.concatenate([_unpack(raw, "<u8", 4 * n).reshape(4, n).T for _, n, raw in parts])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()
         for chunk, own in _chunks(batches, own_size, order):
             losses = _chunk_losses(own, answer(chunk, own), (marked, every), own_size, leave_out) if len(own.owner) else [np.zeros(len(own.sizes))] * 2
             none = own.sizes == 0
