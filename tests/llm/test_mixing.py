@@ -91,3 +91,13 @@ def test_empty_and_wordless(spark):
 def test_plan_is_native(spark):
     plan = mixed_sizes(spark.createDataFrame(documents(1, 20), KIND))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_documents_leave_no_gap(spark):
+    """A very long document at the cut of the order: those behind it fill the target all the same."""
+    r = random.Random(8)
+    for seed in ("s1", "s2", "s3"):
+        rows = [(i, r.randint(50, 500), "big") for i in range(1500)] + [(9000 + i, 60_000, "big") for i in range(3)] + [(10_000 + i, 40, f"x{i}") for i in range(4)]
+        df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+        out = mixed_sizes(df, seed=seed).where("source_size > 1000").collect()
+        assert abs(sum(x["taken"] for x in out) - out[0]["target"]) < 0.001 * out[0]["target"]

@@ -6,7 +6,8 @@ until no target is above its cap. With the sources in the order of cap over weig
 (target over weight) of those below their cap has a closed form, so no loop is needed.
 
 A target is met by whole repetitions of all documents of the source and a sample for the rest: documents are ordered by
-a seeded digest of their id and taken while their words fit in what is left. What is then still missing is filled with
+a seeded digest of their id and taken while their words fit in what is left. Where one doesn't fit it is passed over, and the order goes on with those that do
+fit in what is missing, and so on: ``ROUNDS`` times. What is then still missing, less than a document as a rule, is filled with
 further documents, the largest first, out of one per size class and digest group: some hundred candidates per source at most. The
 place where the order is cut is found in two steps, words by digest prefix and then documents of a single prefix, so that no source
 is ever sorted as a whole.
@@ -26,6 +27,8 @@ EPOCHS = 3
 SEED = "mix-1"
 #: Digest prefixes have so many hexadecimal digits: 65,536 of them.
 PREFIX = 4
+#: How often the order of a source goes on behind a document that doesn't fit.
+ROUNDS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -60,28 +63,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 def mix_parameters(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row per source: ``source``, ``source_size``, ``target``, ``whole`` repetitions, and which documents are sampled on top.
 
-    ``sized`` has ``doc_id``, ``source``, ``size`` and ``key``. Sampled are documents whose (key, doc_id) is at most
-    ``last``, and those whose (key, doc_id, size) is among ``extra``.
+    ``sized`` has ``doc_id``, ``source``, ``size`` and ``key``. Sampled are documents that a round takes (:func:`sampled`) and those whose
+    (key, doc_id, size) is among ``extra``.
     """
     base = source_targets(sized, weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    base = base.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    base = written(base, "targets")
-    prefix = F.substring("key", 1, PREFIX)
-    steps = sized.groupBy("source", prefix.alias("prefix")).agg(F.sum("size").alias("words"))
-    rising = steps.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("prefix")))
-    # the prefix in which the rest runs out
-    cut = _with_source(rising, base).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("prefix", "upto", "words")).alias("c"))
-    cut = cut.select("source", F.col("c.prefix").alias("cut"), (F.col("c.upto") - F.col("c.words")).alias("before"))
-    base = written(base.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
-    # documents of that prefix; rows that share key and id are taken together
-    inside = _with_source(sized.withColumn("prefix", prefix), base).where(F.col("prefix") == F.col("cut"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id"))
-    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("upto", "key", "doc_id")).alias("last"))
-    base = base.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    missing = F.col("rest") - F.coalesce(F.col("last.upto"), F.col("before"), F.lit(0))
-    base = written(base.withColumn("missing", missing), "lasts")
-    left = _with_source(sized.withColumn("prefix", prefix), base).where(~sampled_by_order() & (F.col("size") > 0) & (F.col("size") <= F.col("missing")))
+    base = base.withColumn("whole", whole).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    base = written(base.select("source", "source_size", "target", "whole", "missing"), "targets")
+    keyed = sized.where("size > 0").withColumn("prefix", F.substring("key", 1, PREFIX))
+    for r in range(ROUNDS):
+        base = _round(keyed, base, r)
+    left = _with_source(keyed, base).where(~sampled(ROUNDS) & (F.col("size") <= F.col("missing")))
     candidates = left.groupBy("source", size_class().alias("class"), F.substring("key", 32, 1).alias("group")).agg(F.min(F.struct("key", "doc_id", "size")).alias("c"), F.first("missing").alias("missing"))
     listed = candidates.groupBy("source").agg(F.first("missing").alias("missing"), F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("order"), "c.key", "c.doc_id", "c.size"))).alias("all"))
     none = F.filter("all", lambda x: F.lit(False))
@@ -92,7 +84,34 @@ def mix_parameters(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     )
     extra = listed.select("source", picked.alias("extra"))
     base = base.join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    return written(base.select("source", "source_size", "target", "whole", "cut", "last", "extra"), "mix")
+    return written(base.select("source", "source_size", "target", "whole", *_of_rounds(ROUNDS), "extra"), "mix")
+
+
+def _of_rounds(n: int) -> list[str]:
+    return [f"{c}{r}" for r in range(n) for c in ("most", "cut", "last")]
+
+
+def _round(keyed: DataFrame, base: DataFrame, r: int) -> DataFrame:
+    """``base`` after one more round, which takes documents of at most ``missing`` words that no round before took, in the order of their digests while they fit.
+
+    ``most`` is the size that fits, ``cut`` the digest prefix in which the words run out, and ``last`` the last document of that prefix that is taken.
+    """
+    open_ = _with_source(keyed, base).where(~sampled(r) & (F.col("size") <= F.col("missing")))
+    steps = open_.groupBy("source", "prefix").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    rising = steps.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("prefix")))
+    over = F.col("upto") > F.col("missing")
+    found = rising.groupBy(F.col("source").alias("s")).agg(F.min(F.when(over, F.col("prefix"))).alias("cut"), F.max(F.when(~over, F.col("upto"))).alias("before"))
+    named = base.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    # "~" is behind all prefixes: everything fits
+    named = named.select(*base.columns, F.col("missing").alias(f"most{r}"), F.coalesce("cut", F.lit("~")).alias(f"cut{r}"), F.coalesce("before", F.lit(0)).alias("before"))
+    named = written(named, "cuts")
+    # documents of that prefix; rows that share key and id are taken together
+    inside = _with_source(keyed, named).where((F.col("prefix") == F.col(f"cut{r}")) & ~sampled(r) & (F.col("size") <= F.col("missing")))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id"))
+    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("missing")).groupBy("source").agg(F.max(F.struct("upto", "key", "doc_id")).alias(f"last{r}"))
+    met = named.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    missing = F.col("missing") - F.coalesce(F.col(f"last{r}.upto"), F.col("before"))
+    return written(met.withColumn("missing", missing).drop("before"), "rounds")
 
 
 def _with_source(rows: DataFrame, base: DataFrame) -> DataFrame:
@@ -107,17 +126,22 @@ def size_class() -> Column:
     return F.concat(F.length(digits).cast("string"), F.substring(digits, 1, 1))
 
 
-def sampled_by_order() -> Column:
-    """Whether a document comes before the cut of its source; needs ``prefix``, ``key`` and ``doc_id``."""
+def sampled(rounds: int) -> Column:
+    """Whether one of the first rounds takes a document; needs ``prefix``, ``key``, ``doc_id`` and ``size``."""
     first = F.lit(-(1 << 63))
-    inside = (F.col("key") < F.col("last.key")) | ((F.col("key") == F.col("last.key")) & (F.coalesce(F.col("doc_id"), first) <= F.coalesce(F.col("last.doc_id"), first)))
-    return F.coalesce((F.col("prefix") < F.col("cut")) | ((F.col("prefix") == F.col("cut")) & inside), F.lit(False))
+    taken = F.lit(False)
+    for r in range(rounds):
+        last, cut = F.col(f"last{r}"), F.col(f"cut{r}")
+        inside = (F.col("key") < last["key"]) | ((F.col("key") == last["key"]) & (F.coalesce(F.col("doc_id"), first) <= F.coalesce(last["doc_id"], first)))
+        within = F.coalesce((F.col("prefix") < cut) | ((F.col("prefix") == cut) & inside), F.lit(False))
+        taken = taken | (within & (F.col("size") <= F.col(f"most{r}")))
+    return taken & (F.col("size") > 0)
 
 
 def copies() -> Column:
     """How often the mix takes a document, by the columns of :func:`mix_parameters` and ``prefix``, ``key``, ``doc_id`` and ``size``."""
     is_extra = F.exists("extra", lambda e: (F.col("key") == e["key"]) & F.col("doc_id").eqNullSafe(e["doc_id"]) & (F.col("size") == e["size"]))
-    return F.col("whole") + F.when(sampled_by_order() | F.coalesce(is_extra, F.lit(False)), 1).otherwise(0)
+    return F.col("whole") + F.when(sampled(ROUNDS) | F.coalesce(is_extra, F.lit(False)), 1).otherwise(0)
 
 
 def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -158,6 +182,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def oracle(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> str:
     """DuckDB SQL for :func:`mixed_sizes`, with plain windows over whole sources."""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    rounds = "\n".join(f"""risen{r} AS (
+  SELECT *, sum(CASE WHEN taken OR size > missing THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY key, doc_id) AS upto FROM round{r}),
+round{r + 1} AS (
+  SELECT doc_id, size, key, source, source_size, target, whole,
+         missing - max(CASE WHEN upto <= missing THEN upto ELSE 0 END) OVER (PARTITION BY source) AS missing, taken OR (size > 0 AND size <= missing AND upto <= missing) AS taken
+  FROM risen{r}),""" for r in range(ROUNDS))
     return f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -178,14 +208,13 @@ target AS (
   FROM stepped s, met m),
 base AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM target),
-risen AS (
-  SELECT d.doc_id, d.size, d.key, b.*, b.target - b.whole * b.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id) AS upto
+round0 AS (
+  SELECT d.doc_id, d.size, d.key, b.*, b.target - b.whole * b.source_size AS missing, false AS taken
   FROM sized d JOIN base b ON d.source IS NOT DISTINCT FROM b.source),
-cut AS (SELECT *, max(CASE WHEN upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS had FROM risen),
+{rounds}
 candidate AS (
-  SELECT source, any_value(rest - had) AS missing, min(struct_pack(k := key, i := doc_id, z := size)) AS c
-  FROM cut WHERE upto > rest AND size > 0 AND size <= rest - had
+  SELECT source, any_value(missing) AS missing, min(struct_pack(k := key, i := doc_id, z := size)) AS c
+  FROM round{ROUNDS} WHERE NOT taken AND size > 0 AND size <= missing
   GROUP BY source, length(CAST(size AS VARCHAR)) || substr(CAST(size AS VARCHAR), 1, 1), substr(key, 32, 1)),
 listed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c.z DESC, c.k, c.i NULLS FIRST) AS n FROM candidate),
 filled(source, n, missing, picked, c) AS (
@@ -195,7 +224,7 @@ filled(source, n, missing, picked, c) AS (
   FROM filled f JOIN listed l ON l.source IS NOT DISTINCT FROM f.source AND l.n = f.n + 1),
 extra AS (SELECT source, c FROM filled WHERE picked),
 marked AS (
-  SELECT c.*, c.whole + CASE WHEN c.source_size > 0 AND (c.upto <= c.rest OR e.c IS NOT NULL) THEN 1 ELSE 0 END AS times
-  FROM cut c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.key = e.c.k AND c.doc_id IS NOT DISTINCT FROM e.c.i AND c.size = e.c.z)
+  SELECT c.*, c.whole + CASE WHEN c.source_size > 0 AND (c.taken OR e.c IS NOT NULL) THEN 1 ELSE 0 END AS times
+  FROM round{ROUNDS} c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.key = e.c.k AND c.doc_id IS NOT DISTINCT FROM e.c.i AND c.size = e.c.z)
 SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken, CAST(times AS BIGINT) AS copies FROM marked
 """
