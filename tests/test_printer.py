@@ -6,7 +6,7 @@ from weft.catalogue import schema_text
 from weft.lang.parser import parse_predicate, parse_queries, parse_schema
 from weft.lang.printer import proposed_links, query_hashes, show_condition, show_query, show_schema, watched
 
-from .test_engine import SCHEMA as GRAPH
+from .test_engine import GARDEN as GRAPH
 from .test_language import SCHEMA
 
 QUERIES = [

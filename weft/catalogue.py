@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import WeftError
 from .functions.registry import Clock, call
 from .schema import Catalog
 from .sources.parquet import ParquetTables
@@ -176,7 +177,14 @@ _graph(
     "wildcard_with_alias", "query Q { nation { * label: n_name } }",
     "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name AS label FROM nation", "nation",
 )
-_graph("multi_root", "query Q { region { r_name } nation { n_name } }", "SELECT n_name FROM nation", "nation")
+
+
+def _both_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = engine(spark, sf_dir).query("query Q { region { r_name } nation { n_name } }")
+    return out["region"].select(F.col("r_name").alias("name")).unionByName(out["nation"].select(F.col("n_name").alias("name")))
+
+
+_add("multi_root", "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation", _both_roots)
 _graph("datetime_project", "query Q { order { o_orderkey o_orderdate } }", "SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS o_orderdate FROM orders", "order")
 
 # --- filters ---
@@ -262,41 +270,48 @@ _graph("union_eq", "query Q { order { @where { o_orderstatus == F } o_orderkey }
 _graph("union_neq", "query Q { order { @where { o_orderstatus != F } o_orderkey } }", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'", "order")
 _graph("json_project", "query Q { event { event_id props } }", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", "event", lambda d: d.select("event_id", "props.k"))
 
-_JOB = """
-type Reason
-   = Rejected { code String? }
-   | Unavailable
-type State
-   = Failed { errorCode Int  reason Reason }
-   | Ready { errorCode Int }
-record Job {
-    @tablename("jobs")
+_PARCEL = """
+type Route
+   = Truck { stops Int  plate String? }
+   | Ship { harbour String }
+   | Pickup
+type Progress
+   = Packed { weight Float }
+   | Sent { weight Float  route Route }
+   | Lost
+record Parcel {
+    @tablename("parcels")
     @public
-    id Int @id
-    state State
+    number Int @id
+    progress Progress
 }
 """
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> Engine:
-    """Orders as jobs: F failed (every third rejected, with a code or none), O ready, P without a state."""
+def _parcels(spark: SparkSession, sf_dir: str) -> Engine:
+    """Orders as parcels: O are packed, F are sent by truck, ship or not at all, P are lost. Some trucks have a plate."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rejected = F.col("o_orderkey") % 3 == 0
-    status = F.when(F.col("o_orderstatus") == "F", "Failed").when(F.col("o_orderstatus") == "O", "Ready")
-    failed = F.col("o_orderstatus") == "F"
-    jobs = o.select(
-        F.col("o_orderkey").alias("id"), status.alias("state"), (F.col("o_custkey") % 10).alias("state__errorCode"), F.when(failed, F.when(rejected, "Rejected").otherwise("Unavailable")).alias("state__reason"),
-        F.when(failed & rejected & (F.col("o_orderkey") % 2 == 0), F.col("o_orderpriority")).alias("state__reason__code"),
+    way, sent = F.col("o_orderkey") % 4, F.col("o_orderstatus") == "F"
+    truck, ship = sent & (way == 0), sent & (way == 1)
+    parcels = o.select(
+        F.col("o_orderkey").alias("number"), F.when(sent, "Sent").when(F.col("o_orderstatus") == "O", "Packed").otherwise("Lost").alias("progress"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("progress__weight"), F.when(truck, "Truck").when(ship, "Ship").when(sent, "Pickup").alias("progress__route"),
+        F.when(truck, F.col("o_custkey") % 7).alias("progress__route__stops"), F.when(truck & (F.col("o_custkey") % 2 == 0), F.col("o_orderpriority")).alias("progress__route__plate"),
+        F.when(ship, F.col("o_orderpriority")).alias("progress__route__harbour"),
     )
-    return Engine(spark, _JOB, {"jobs": jobs}, NOW)
+    return Engine(spark, _PARCEL, {"parcels": parcels}, NOW)
 
 
-_JOBS_SQL = "(SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Ready' END AS state, o_custkey % 10 AS error, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Rejected' ELSE 'Unavailable' END END AS reason, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 6 = 0 THEN o_orderpriority END AS code FROM orders)"
-_add("union_path_eq", f"SELECT id FROM {_JOBS_SQL} WHERE state = 'Failed' AND error = 3", lambda s, d: _jobs(s, d).query("query Q { job { @where { state.Failed.errorCode == 3 } id } }")["job"])
-_add("union_path_neq_guard", f"SELECT id FROM {_JOBS_SQL} WHERE state = 'Failed' AND reason = 'Rejected' AND code IS DISTINCT FROM '1-URGENT'", lambda s, d: _jobs(s, d).query('query Q { job { @where { state.Failed.reason.Rejected.code != "1-URGENT" } id } }')["job"])
+_TRUCK = "o_orderstatus = 'F' AND o_orderkey % 4 = 0"
+_PLATE = f"CASE WHEN {_TRUCK} AND o_custkey % 2 = 0 THEN o_orderpriority END"
+_add("union_path_eq", f"SELECT o_orderkey AS number FROM orders WHERE {_TRUCK} AND o_custkey % 7 = 3", lambda s, d: _parcels(s, d).query("query Q { parcel { @where { progress.Sent.route.Truck.stops == 3 } number } }")["parcel"])
+_add("union_path_neq_guard", f"SELECT o_orderkey AS number FROM orders WHERE {_TRUCK} AND {_PLATE} IS DISTINCT FROM '1-URGENT'", lambda s, d: _parcels(s, d).query('query Q { parcel { @where { progress.Sent.route.Truck.plate != "1-URGENT" } number } }')["parcel"])
+_add("union_path_shared", "SELECT o_orderkey AS number FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000", lambda s, d: _parcels(s, d).query("query Q { parcel { @where { progress.Packed.weight > 100000 } number } }")["parcel"])
 _add(
-    "union_nested", f"SELECT id, state, CASE WHEN state IS NOT NULL THEN error END AS error, CASE WHEN state = 'Failed' THEN reason END AS reason, CASE WHEN state = 'Failed' AND reason = 'Rejected' THEN code END AS code FROM {_JOBS_SQL}",
-    lambda s, d: _jobs(s, d).query("query Q { job { id state } }")["job"].select("id", F.col("state._type").alias("state"), F.col("state.errorCode").alias("error"), F.col("state.reason._type").alias("reason"), F.col("state.reason.code").alias("code")),
+    "union_nested",
+    "SELECT o_orderkey AS number, CASE o_orderstatus WHEN 'F' THEN 'Sent' WHEN 'O' THEN 'Packed' ELSE 'Lost' END AS progress, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS weight, "
+    f"CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 4 WHEN 0 THEN 'Truck' WHEN 1 THEN 'Ship' ELSE 'Pickup' END END AS route, {_PLATE} AS plate FROM orders",
+    lambda s, d: _parcels(s, d).query("query Q { parcel { number progress } }")["parcel"].select("number", F.col("progress._type").alias("progress"), F.col("progress.weight").alias("weight"), F.col("progress.route._type").alias("route"), F.col("progress.route.plate").alias("plate")),
 )
 
 # --- permissions ---
@@ -415,6 +430,37 @@ _add(
     lambda s, d: engine(s, d).mutate("delete Q { customer { @where { c_acctbal < 0 } c_custkey } }").changes[0][2].select("c_custkey", "c_acctbal"),
 )
 
+# --- rows without a key ---
+_STALL = """
+record Stall {
+    @tablename("stalls")
+    @public
+    stall Int? @id
+    name String
+    balance Float
+}
+"""
+
+
+def _stalls(spark: SparkSession, sf_dir: str) -> Engine:
+    """Customers as stalls; every seventh has no key."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    stalls = c.select(F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("stall"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return Engine(spark, _STALL, {"stalls": stalls}, NOW)
+
+
+_STALLS_SQL = "(SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS stall, c_name AS name, c_acctbal AS balance FROM customer)"
+_add("update_null_key", f"SELECT stall, name, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM {_STALLS_SQL}", lambda s, d: _stalls(s, d).mutate("update Q { stall { @where { balance < 0 } balance = 0.0 } }").tables["stalls"])
+_add("delete_null_key", f"SELECT * FROM {_STALLS_SQL} WHERE balance >= 0", lambda s, d: _stalls(s, d).mutate("delete Q { stall { @where { balance < 0 } stall } }").tables["stalls"])
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = _stalls(spark, sf_dir).mutate('update Q { stall { @where { balance < 0 } name = "closed" } }').changes[0]
+    return change.before.withColumn("image", F.lit("before")).unionByName(change.after.withColumn("image", F.lit("after")))
+
+
+_add("affected_before_after", f"SELECT *, 'before' AS image FROM {_STALLS_SQL} WHERE balance < 0 UNION ALL SELECT stall, 'closed', balance, 'after' FROM {_STALLS_SQL} WHERE balance < 0", _images)
+
 # --- sync ---
 _NOTE = """
 session {
@@ -452,14 +498,30 @@ _add("sync_status", f"SELECT 'notes' AS \"table\", max(updatedAt) AS newest, tru
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _notes(spark, sf_dir)
+    """Who sees what of a mutation that gives the notes of one owner to another."""
+    notes = _notes(spark, sf_dir)
+    e = Engine(spark, _NOTE.replace("@allow(insert, update, delete) { False }", "@allow(update) { True }\n    @allow(insert, delete) { False }"), notes.tables, NOW)
+    changed = e.mutate("update Q { note { @where { owner == 3 } owner = 4 } }").changes[0].after
     sessions = spark.createDataFrame([(i, i // 2) for i in range(20)], "session_id long, userId long")
-    table = e.catalog.tables["note"]
-    found = live_changes(e, table, e.source(table).where("id <= 1000"), sessions)
+    found = live_blocks(e, e.catalog.tables["note"], changed, sessions)
     return found.select(F.explode("sessions").alias("session_id"), "keys").select("session_id", F.explode("keys").alias("id"))
 
 
-_add("live_deltas", f"SELECT CAST(s.i AS BIGINT) AS session_id, n.id FROM {_NOTES_SQL} n JOIN range(20) s(i) ON n.owner = s.i // 2 WHERE n.id <= 1000", _live)
+_add("live_deltas", f"SELECT CAST(s.i AS BIGINT) AS session_id, n.id FROM {_NOTES_SQL} n JOIN range(20) s(i) ON n.owner = 3 AND s.i // 2 = 4", _live)
+
+
+def _live_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all notes may be sent at once."""
+    e = _notes(spark, sf_dir)
+    table, outcome = e.catalog.tables["note"], "Sent"
+    try:
+        live_changes(e, table, e.source(table), spark.createDataFrame([(1, 3)], "session_id long, userId long"))
+    except WeftError as error:
+        outcome = error.kind
+    return spark.createDataFrame([(table.name, outcome)], "table string, outcome string")
+
+
+_add("live_sync_required", "SELECT 'notes' AS \"table\", CASE WHEN count(*) > 5000 THEN 'SyncRequired' ELSE 'Sent' END AS outcome FROM orders", _live_limit)
 
 
 def _live_all(spark: SparkSession, sf_dir: str) -> DataFrame:

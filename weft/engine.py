@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .errors import WeftError
 from .functions.registry import Clock
 from .lang.parser import parse_queries
-from .plans.check import check
+from .plans.check import check, check_value
 from .plans.mutate import Mutation, Mutator
 from .plans.select import Planner
 from .schema import Catalog, Table
@@ -68,7 +68,9 @@ class Engine:
         for name, ref in query.params.items():
             if name in given and given[name] is None and not ref.nullable:
                 raise WeftError("NullParameter", name)
-            if name not in given:
+            if name in given:
+                check_value(self.catalog, name, ref, given[name])
+            else:
                 if not ref.nullable:
                     raise WeftError("MissingParameter", name)
                 if query.kind == "query":

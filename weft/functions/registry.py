@@ -112,7 +112,7 @@ FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
     "rtrim": (1, lambda clock, s: F.rtrim(s)),
     "replace": (3, lambda clock, s, a, b: F.replace(s, a, b)),
     "like": (2, lambda clock, pattern, s: F.ilike(s, pattern)),
-    "hex": (1, lambda clock, s: F.hex(s)),
+    "hex": (1, lambda clock, s: F.hex(s.cast("string"))),
     "date": (1, _form("yyyy-MM-dd")),
     "time": (1, _form("HH:mm:ss")),
     "datetime": (1, _form("yyyy-MM-dd HH:mm:ss")),

@@ -22,10 +22,34 @@ def restrict(child: DataFrame, child_keys: list[str], parent: DataFrame, parent_
 
 
 def attach_many(parent: DataFrame, parent_keys: list[str], child: DataFrame, child_keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Parents with an array of their children's values, in the order of ``order`` and then of the values; without children it is empty."""
+    """Parents with an array of their children's values, in the order of ``order`` and then of the values; without children it is empty.
+
+    Values that hold maps have no order: theirs is that of their JSON text.
+    """
+    if "map<" in child.select(value.alias("v")).dtypes[0][1]:
+        order, made = [*order, "_text"], F.to_json(F.struct(value.alias("v")))
+        child = child.withColumn("_text", made)
+        return _attached(parent, parent_keys, child, child_keys, F.struct(*(F.col(k).alias(f"o{i}") for i, k in enumerate(order)), value.alias("v")), name, _by_fields(len(order)))
     sortable = F.struct(*(F.col(k).alias(f"o{i}") for i, k in enumerate(order)), value.alias("v")) if order else F.struct(value.alias("v"))
+    return _attached(parent, parent_keys, child, child_keys, sortable, name)
+
+
+def _by_fields(n: int):
+    """Compares structs by their first n fields."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for i in range(n - 1, -1, -1):
+            x, y = a[f"o{i}"], b[f"o{i}"]
+            out = F.when(x.eqNullSafe(y), out).when(x.isNull() | (x < y), -1).otherwise(1)
+        return out
+
+    return compare
+
+
+def _attached(parent: DataFrame, parent_keys: list[str], child: DataFrame, child_keys: list[str], sortable: Column, name: str, compare=None) -> DataFrame:
     keys = [f"_k{i}" for i in range(len(child_keys))]
-    grouped = child.groupBy(*(F.col(c).alias(k) for c, k in zip(child_keys, keys, strict=True))).agg(F.array_sort(F.collect_list(sortable)).alias("_many"))
+    grouped = child.groupBy(*(F.col(c).alias(k) for c, k in zip(child_keys, keys, strict=True))).agg(F.array_sort(F.collect_list(sortable), *[compare] * (compare is not None)).alias("_many"))
     grouped = grouped.select(*keys, F.transform("_many", lambda x: x["v"]).alias("_many"))
     joined = parent.join(grouped, keys_equal(parent, parent_keys, grouped, keys), "left")
     return joined.select(*(parent[f"`{c}`"] for c in parent.columns), F.coalesce(F.col("_many"), F.array()).alias(name))

@@ -8,7 +8,7 @@ of the row as it was. What they don't allow is silently left out.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +21,23 @@ from .predicate import exists_in, operand
 from .select import Planner
 
 
+class Change(NamedTuple):
+    """Changed rows of a table: ``rows`` as they are reported (deleted ones as they were), and the images before and after; None where there is none."""
+
+    table: str
+    op: str
+    rows: DataFrame
+    before: DataFrame | None
+    after: DataFrame | None
+
+
 @dataclass
 class Mutation:
-    """``tables``: new snapshots by table name; ``response``: selected columns of changed rows by alias; ``changes``: table, op, before, after."""
+    """``tables``: new snapshots by table name; ``response``: selected columns of changed rows by alias; ``changes``: one for each table and step."""
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     response: dict[str, DataFrame] = field(default_factory=dict)
-    changes: list[tuple[str, str, DataFrame]] = field(default_factory=list)
+    changes: list[Change] = field(default_factory=list)
 
 
 class Mutator:
@@ -108,8 +118,7 @@ class Mutator:
                 continue
             if f.name == table.key:
                 if isinstance(table.columns[f.name].type, T.LongType):
-                    had = self._now(table).agg(F.max(f.name)).first()[0]
-                    values[f.name] = F.lit((had or 0) + 1).cast("long")
+                    values[f.name] = self._now(table).agg(F.coalesce(F.max(f.name), F.lit(0)) + 1).scalar()
                 else:
                     values[f.name] = F.expr("uuid()")
             elif f.name == "updatedAt" or "default" in f.directives:
@@ -127,7 +136,7 @@ class Mutator:
             columns.append(v.cast(c.type).alias(n))
         proposed = start.select(*columns)
         allowed = self.planner.filtered(table, proposed, self.catalog.permission(table, "insert"))
-        self._changed(table, "insert", allowed, self._now(table).unionByName(allowed))
+        self._changed(table, self._now(table).unionByName(allowed), Change(table.name, "insert", allowed, None, allowed))
         for c in s.children or []:
             if c.name in table.links:
                 link = table.links[c.name]
@@ -137,19 +146,11 @@ class Mutator:
 
     # --- update and delete ---
 
-    def _matched(self, table: Table, s: Selection, operation: str) -> DataFrame:
+    def _marked(self, table: Table, s: Selection, operation: str) -> DataFrame:
+        """All rows with ``_hit``: whether the mutation is meant for a row and allowed on it. Rows are told by their values alone, so a null key is no matter."""
         if table.key is None:
             raise WeftError("NoPrimaryKey", table.record.name)
-        rows = self._now(table)
-        for p in [*s.wheres, self.catalog.permission(table, operation)]:
-            rows = self.planner.filtered(table, rows, p)
-        return rows
-
-    def _without(self, table: Table, rows: DataFrame) -> DataFrame:
-        """Rows whose key isn't among others; a condition that is null keeps its row."""
-        gone = rows.select(F.col(f"`{table.key}`").alias("_gone"))
-        now = self._now(table)
-        return now.join(gone, now[table.key] == F.col("_gone"), "left_anti")
+        return self.planner.marked(table, self._now(table), [*s.wheres, self.catalog.permission(table, operation)], "_hit")
 
     def update(self, table: Table, s: Selection) -> DataFrame:
         permission = self.catalog.permission(table, "update")
@@ -162,16 +163,21 @@ class Mutator:
                 values |= self.assigned(table, c.name, c.value)
         if "updatedAt" in table.columns and "updatedAt" not in values:
             values["updatedAt"] = F.lit(self.planner.clock.now).cast("long")
-        matched = self._matched(table, s, "update")
-        after = matched.select(*(values.get(n, F.col(f"`{n}`")).cast(c.type).alias(n) for n, c in table.columns.items()))
-        self._changed(table, "update", after, self._without(table, matched).unionByName(after), matched)
+        marked = self._marked(table, s, "update")
+        own = {n: F.col(f"`{n}`") for n in table.columns}
+        new = {n: values.get(n, own[n]).cast(c.type) for n, c in table.columns.items()}
+        hit = marked.where("_hit")
+        before, after = hit.select(*own.values()), hit.select(*(v.alias(n) for n, v in new.items()))
+        snapshot = marked.select(*(F.when(F.col("_hit"), new[n]).otherwise(own[n]).alias(n) if n in values else own[n] for n in own))
+        self._changed(table, snapshot, Change(table.name, "update", after, before, after))
         return self._response(table, s, after)
 
     def delete(self, table: Table, s: Selection) -> DataFrame:
         """Gives the rows as they were."""
-        matched = self._matched(table, s, "delete")
-        self._changed(table, "delete", matched, self._without(table, matched))
-        return self._response(table, s, matched)
+        marked = self._marked(table, s, "delete")
+        gone = marked.where("_hit").drop("_hit")
+        self._changed(table, marked.where("not _hit").drop("_hit"), Change(table.name, "delete", gone, gone, None))
+        return self._response(table, s, gone)
 
     # --- results ---
 
@@ -179,9 +185,9 @@ class Mutator:
         found = self.out.tables.get(table.name)
         return self.planner.source(table) if found is None else found.select(*(F.col(f"`{c}`").alias(c) for c in found.columns))
 
-    def _changed(self, table: Table, op: str, rows: DataFrame, snapshot: DataFrame, before: DataFrame | None = None) -> None:
+    def _changed(self, table: Table, snapshot: DataFrame, change: Change) -> None:
         self.out.tables[table.name] = snapshot
-        self.out.changes.append((table.name, op, rows))
+        self.out.changes.append(change)
 
     def _response(self, table: Table, s: Selection, rows: DataFrame) -> DataFrame:
         from ..operators.shape import logical_column

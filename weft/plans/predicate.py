@@ -48,6 +48,7 @@ class _Operand:
     values: list | None = None  # of a list
     union: str | None = None
     real: bool = False
+    array: bool = False  # a column of lists
 
 
 def resolve(catalog: Catalog, table: Table, parts: tuple[str, ...]) -> tuple[str, bool, list[tuple[str, str]], str | None]:
@@ -78,7 +79,11 @@ def _session(ctx: Context, parts: tuple[str, ...]) -> _Operand:
         raise WeftError("UnknownSessionField", parts[0])
     ref = ctx.catalog.session[parts[0]]
     if ctx.session_columns is not None:
-        return _Operand(ctx.session_columns(parts[0]), ref.nullable, [])
+        column, guards = ctx.session_columns(parts[0]), []
+        for variant, inner in zip(parts[1::2], parts[2::2], strict=False):  # a union value is a struct with _type
+            guards.append(F.coalesce(column["_type"] == variant, F.lit(False)))
+            column = F.when(guards[-1], column[inner])
+        return _Operand(column, ref.nullable or len(parts) > 1, guards, array=len(parts) == 1 and ref.name in ("Json", "JSON") and bool(ref.args) and ref.args[0].name == "List")
     value = ctx.session.get(parts[0])
     guards = []
     for variant, inner in zip(parts[1::2], parts[2::2], strict=False):  # a union value is a dict with _type
@@ -120,6 +125,9 @@ def operand(ctx: Context, x: Any, other_union: str | None = None) -> _Operand:
 
 def _compared(ctx: Context, op: str, a: _Operand, b: _Operand) -> Column:
     if op in ("in", "not in"):
+        if b.array:
+            found = F.coalesce(F.array_contains(b.column, a.column), F.lit(False))
+            return found if op == "in" else ~found
         if b.values is None:
             raise WeftError("InNeedsAList", op)
         found = a.column.isin(b.values) if b.values else F.lit(False)

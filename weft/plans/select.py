@@ -51,6 +51,23 @@ class Planner:
         ctx.exists = lambda e: F.col(marks[e])
         return df.where(compile_predicate(ctx, condition)).select(*(F.col(f"`{c}`") for c in columns))
 
+    def marked(self, table: Table, df: DataFrame, conditions: list[Any], name: str) -> DataFrame:
+        """All rows, and whether each meets the conditions; a condition that is null isn't met. No row goes or multiplies."""
+        columns = df.columns
+        conditions = [c for c in conditions if c is not None]
+        marks: dict[Exists, str] = {}
+        for e in [e for c in conditions for e in exists_in(c)]:
+            if e not in marks:
+                related, keys, local = self._related(table, e)
+                marks[e] = f"_exists{len(marks)}"
+                df = mark_exists(df, local, related, keys, marks[e])
+        ctx = self.context(table, lambda n: F.col(f"`{n}`"))
+        ctx.exists = lambda e: F.col(marks[e])
+        met = F.lit(True)
+        for c in conditions:
+            met = met & compile_predicate(ctx, c)
+        return df.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(met, F.lit(False)).alias(name))
+
     def context(self, table: Table, column: Callable[[str], Column]) -> Context:
         return Context(self.catalog, table, column, self.params, self.session, self.clock)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any
@@ -45,13 +46,20 @@ class Table:
         return next((f for f in self.record.fields if f.name == name), None)
 
 
+# Plurals that follow no rule.
+_IRREGULAR = {"child": "children", "person": "people", "man": "men", "woman": "women", "mouse": "mice", "goose": "geese", "foot": "feet", "tooth": "teeth", "ox": "oxen"}
+#: Endings, the first that fits counts: how many letters go, and what comes instead. Words in -s count as plural, but for those in -ses, -xes and the like.
+_ENDINGS = [(r"([sxz]|[cs]h)es$", 0, "es"), (r"s$", 0, ""), (r"([xz]|[cs]h)$", 0, "es"), (r"[^aeiou]y$", 1, "ies"), (r"fe$", 2, "ves"), (r"[^aeiou]f$", 1, "ves"), (r"[^aeiou]o$", 0, "es")]
+
+
 def plural(word: str) -> str:
-    """The plural of an English noun in its commonest forms."""
-    if word.endswith("y") and word[-2:-1] not in "aeiou":
-        return word[:-1] + "ies"
-    if word.endswith(("s", "x", "z", "ch", "sh")):
-        return word + "es"
-    return word + "s"
+    """The plural of an English noun; the first letter keeps its case."""
+    if found := _IRREGULAR.get(word.lower()):
+        return word[:1] + found[1:]
+    for ending, gone, more in _ENDINGS:
+        if len(word) > 1 and re.search(ending, word, re.I):
+            return word[: len(word) - gone] + more
+    return f"{word}s" if word else word
 
 
 def decapitalized(name: str) -> str:

@@ -11,15 +11,16 @@ from ..schema import Catalog, Table, decapitalized
 ROWS, FANOUT = 1000, 5.0
 
 
-def row_counts(catalog: Catalog, rows: int = ROWS, fanout: float = FANOUT) -> dict[str, int]:
-    """Rows per table: ``rows`` for tables without a parent, and for others ``fanout`` per row of the parent, at most 50 times ``rows``."""
+def row_counts(catalog: Catalog, rows: int = ROWS, fanout: float = FANOUT, most: int | None = None) -> dict[str, int]:
+    """Rows per table: ``rows`` for tables without a parent, and for others ``fanout`` per row of the parent, at most ``most`` if that is given."""
     parents = {t.name: {catalog.table_of(k.record).name for k in t.links.values() if catalog.singular(t, k)} - {t.name} for t in catalog.tables.values()}
     out: dict[str, int] = {}
 
     def of(name: str, above: frozenset) -> int:
         if name not in out:
             known = [of(p, above | {name}) for p in sorted(parents[name]) if p not in above]
-            out[name] = min(50 * rows, round(max(known) * fanout)) if known else rows
+            out[name] = round(max(known) * fanout) if known else rows
+            out[name] = out[name] if most is None else min(most, out[name])
         return out[name]
 
     for name in parents:

@@ -24,9 +24,13 @@ PAGE, MOST_PAGE, MOST_TABLES, MOST_HASH = 1000, 5000, 512, 256
 MOST_ROWS, MOST_RECIPIENTS = 5000, 1000
 
 
+#: Where rows without ``updatedAt`` stand in the order.
+_NEVER = -(1 << 62)
+
+
 @dataclass(frozen=True)
 class Seen:
-    """What a client has of a table."""
+    """What a client has of a table: nothing if there is neither a time nor a key."""
 
     updated_at: int | None = None
     key: Any = None
@@ -68,9 +72,9 @@ def status(engine: Engine, cursor: dict[str, Seen], session: dict[str, Any]) ->
         if "updatedAt" not in table.columns:
             continue
         seen, now = cursor.get(table.name, Seen()), permission_hash(engine, table, session)
-        newest = engine.planner(session=session).filtered(table, engine.source(table), engine.catalog.permission(table, "query")).agg(F.max("updatedAt").alias("newest"))
+        newest = engine.planner(session=session).filtered(table, engine.source(table), engine.catalog.permission(table, "query")).agg(F.max("updatedAt").alias("newest"), F.count("*").alias("_rows"))
         changed = F.lit(seen.permission_hash != now)
-        behind = F.coalesce(F.col("newest") > F.lit(seen.updated_at), F.col("newest").isNotNull() & F.lit(seen.updated_at is None))
+        behind = F.coalesce(F.col("newest") > F.lit(_NEVER if seen.updated_at is None and seen.key is not None else seen.updated_at).cast("long"), F.lit(seen.updated_at is None and seen.key is None) & (F.col("_rows") > 0), F.lit(False))
         row = newest.select(F.lit(table.name).alias("table"), "newest", F.lit(now).alias("permission_hash"), (changed | behind).alias("needs_sync"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -80,10 +84,11 @@ def page(engine: Engine, table: Table, seen: Seen, session: dict[str, Any], size
     """The next rows of a table, whether there are more, and the cursor after them."""
     n, now = page_size(size), permission_hash(engine, table, session)
     rows = engine.planner(session=session).filtered(table, engine.source(table), engine.catalog.permission(table, "query"))
-    if seen.permission_hash == now and seen.updated_at is not None:
-        later = F.col("updatedAt") > seen.updated_at
-        rows = rows.where(later if seen.key is None else later | ((F.col("updatedAt") == seen.updated_at) & (F.col(table.key) > seen.key)))
-    found = rows.orderBy("updatedAt", table.key).limit(n + 1)
+    time = F.coalesce(F.col("updatedAt"), F.lit(_NEVER))
+    if seen.permission_hash == now and (seen.updated_at is not None or seen.key is not None):
+        at = _NEVER if seen.updated_at is None else seen.updated_at
+        rows = rows.where(time > at if seen.key is None else (time > at) | ((time == at) & (F.col(table.key) > seen.key)))
+    found = rows.orderBy(time, table.key).limit(n + 1)
     got = found.collect()  # a page, at most 5,001 rows
     shown = engine.spark.createDataFrame(got[:n], found.schema)
     last = Seen(got[:n][-1]["updatedAt"], got[:n][-1][table.key], now) if got else Seen(seen.updated_at, seen.key, now)
@@ -94,11 +99,13 @@ def catch_up(engine: Engine, cursor: dict[str, Seen], session: dict[str, Any], s
     """One page of every table that is behind, in the order of the sync layers; pages, the new cursor, and whether there is more."""
     check_cursor(engine, cursor)
     by_name = {t.name: t for t in engine.catalog.tables.values()}
+    found = status(engine, cursor, session)
+    behind = {r["table"] for r in found.where("needs_sync").collect()} if found is not None else set()  # a row for each table
     pages, after, more = {}, dict(cursor), False
     for layer in engine.catalog.sync_layers:
         for name in layer:
             table = by_name[name]
-            if "updatedAt" not in table.columns or table.key is None:
+            if name not in behind or table.key is None:
                 continue
             rows, rest, after[name] = page(engine, table, cursor.get(name, Seen()), session, size)
             pages[name], more = rows, more or rest
