@@ -58,3 +58,51 @@ def test_lines(spark):
     df = spark.createDataFrame([(1, "p", text, "c", "c")], FILES_KIND)
     r = scan(df, "id", "path", "text").first()
     assert (r["own_license"], r["line"]) == ("GPL-3.0", 1) and r["score"] == pytest.approx(1)
+
+
+def test_whole_licence_files(spark):
+    """Whole licences with other names in them, and what is installed on this machine as far as there is any."""
+    texts = [(name, text.replace("<year>", "2021").replace("<copyright holders>", "Some Body")) for name, text in FILES]
+    rows = [(i, f"d{i}/LICENSE.txt", f"Some Project\n\n{t}\nWith thanks to all.", "c", "c") for i, (_, t) in enumerate(texts)]
+    out = {r["id"]: r["own_license"] for r in scan(spark.createDataFrame(rows, FILES_KIND), "id", "path", "text").collect()}
+    assert [out[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_wrapped_notices(spark):
+    text = "# code\n# Licensed under the Apache License,\n# Version 2.0 (the \"License\"); you may not use this\n# file except in compliance with the License.\nx = 1\n"
+    r = scan(spark.createDataFrame([(1, "p", text, "c", "c")], FILES_KIND), "id", "path", "text").first()
+    assert (r["own_license"], r["line"]) == ("Apache-2.0", 1) and r["score"] > 0.95
+
+
+def test_inheritance_by_walking_up(spark):
+    r = random.Random(4)
+    paths = ["/".join(r.choice("ab") for _ in range(r.randint(0, 4))) for _ in range(120)]
+    rows = [(i, f"{p}/{n}" if p else n, t, "c", "c") for i, (p, (n, t)) in enumerate((p, r.choice([("LICENSE", r.choice(HEADERS)[1]), ("f.py", "x"), ("g.py", "")])) for p in paths)]
+    df = spark.createDataFrame(rows, FILES_KIND)
+    own = {x["id"]: x["own_license"] for x in scan(df, "id", "path", "text").collect()}
+    votes = {}
+    for i, p, _, _, _ in rows:
+        if p.endswith("LICENSE"):
+            votes.setdefault(p[: -len("LICENSE")].rstrip("/"), Counter())[own[i]] += 1
+    for x in license_scan(df).collect():
+        at, want = x["path"].rpartition("/")[0], own[x["id"]]
+        while want is None:
+            if at in votes:
+                want = min(votes[at].items(), key=lambda v: (-v[1], v[0]))[0]
+                break
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+        assert x["license"] == want, x
+
+
+def test_recall_on_planted_notices(spark):
+    import re
+
+    from weft.llm.query_licenses import op1_licenses
+
+    sf = "/root/testdata/sf0.01"
+    planted = re.compile(r"(?im)^(released|licensed|this work is licensed) under .*(license|cc by|public)")
+    has = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if planted.search(r["text"] or "")}
+    found = {r["doc_id"] for r in op1_licenses(spark, sf).collect() if r["own_license"]}
+    assert len(has) > 5 and len(has & found) >= 0.9 * len(has) and len(found - has) <= 0.1 * len(has)

@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Every line of a text is compared with the header templates, and the whole text of a file that is named like a licence file with
-all templates. Terms that templates lack count in a text's norm at the highest weight, so prose around a few matching words
-keeps the cosine low. Lines without any of the templates' strong terms are passed over: the other
+Every line of a text, and every run of up to ``WRAP`` lines around one that names a licence, is compared with the header templates; the whole text of a file that is
+named like a licence file, or of any file if that is asked for, with all templates, whole licences among them. Terms that templates lack count in a text's norm at the
+highest weight, so prose around a few matching words keeps the cosine low. Texts without any of the templates' strong terms are passed over: the other
 terms alone can't reach the threshold with any template, so no match is lost.
 
 A licence file is its directory's licence. Files without a licence of their own have that of the nearest directory above them that has one, found by
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,13 +49,11 @@ HEADERS = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 ]
-FILES = [
-    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software."),
-    ("Apache-2.0", "Apache License Version 2.0. Terms and conditions for use, reproduction, and distribution. Grant of copyright license. Grant of patent license. Redistribution. Submission of contributions. Trademarks. Disclaimer of warranty. Limitation of liability."),
-    ("GPL-3.0", "GNU General Public License Version 3. The GNU General Public License is a free, copyleft license for software and other kinds of works. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products."),
-    ("MPL-2.0", "Mozilla Public License Version 2.0. Definitions. Contributor, contribution, covered software, executable form, larger work, source code form."),
-]
+#: Whole licences, one file each in ``license_texts``.
+NAMES = "MIT BSD-3-Clause BSD-2-Clause ISC Apache-2.0 MPL-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 CC0-1.0 Artistic-1.0".split()
+FILES = [(name, (resources.files(__package__) / "license_texts" / f"{name}.txt").read_text()) for name in NAMES]
+#: Lines that a wrapped notice takes at most.
+WRAP = 4
 
 _TERM = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense|copyright)([._-].*)?$"
@@ -107,11 +106,11 @@ class Templates:
         return (self.names[top], cosine) if cosine >= self.threshold else None
 
 
-def scan(files: DataFrame, id_column: str, path_column: str, text_column: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``id``, ``path``, ``own_license``, ``score`` and ``line`` (from 0; null for a whole file) of every file.
+def scan(files: DataFrame, id_column: str, path_column: str, text_column: str, threshold: float = THRESHOLD, whole_texts: bool = False) -> DataFrame:
+    """``id``, ``path``, ``own_license``, ``score`` and ``line`` (from 0, where a notice begins; null for a whole file) of every file.
 
-    Of several matching lines the best counts, ties by the first. A null or empty text has none; a null path stays null. Every line of every whole text is
-    read. Repeated rows stay.
+    ``whole_texts`` compares every whole text with whole licences, not those of licence files alone. Of several matching runs of lines the best counts, ties by the first and
+    then the shortest. A null or empty text has none; a null path stays null. Every line of every whole text is read. Repeated rows stay; an empty table gives no rows.
     """
     headers, whole = Templates(HEADERS, threshold), Templates(HEADERS + FILES, threshold)
     named = re.compile(_LICENCE_FILE)
@@ -119,14 +118,23 @@ def scan(files: DataFrame, id_column: str, path_column: str, text_column: str, t
 
     def own(path: str | None, raw: bytes) -> tuple[str | None, float | None, int | None]:
         low = raw.lower()
-        if path and named.match(path.rsplit("/", 1)[-1]) and (found := whole.best(low)):
+        if (whole_texts or (path and named.match(path.rsplit("/", 1)[-1]))) and (found := whole.best(low)):
             return (*found, None)
         best: tuple = (None, None, None)
         if not any(t in low for t in headers.strong):
             return best
-        for k, line in enumerate(low.split(b"\n")):
-            if (found := headers.best(line)) and (best[1] is None or found[1] > best[1]):
-                best = (*found, k)
+        lines = low.split(b"\n")
+        seen: set[tuple[int, int]] = set()
+        for k, line in enumerate(lines):
+            if headers.strong.isdisjoint(_TERM.findall(line)):
+                continue
+            for begin in range(max(0, k - WRAP + 1), k + 1):
+                for end in range(k + 1, min(len(lines), begin + WRAP) + 1):
+                    if (begin, end) not in seen:
+                        seen.add((begin, end))
+                        found = headers.best(b" ".join(lines[begin:end]))
+                        if found and (best[1] is None or (found[1], -begin, begin - end) > (best[1], -best[2], -length)):
+                            best, length = (*found, begin), end - begin
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +174,9 @@ def inherit(scanned: DataFrame, declares: Column) -> DataFrame:
 
 
 def license_scan(files: DataFrame, id_column: str = "id", path_column: str = "path", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Scans files and lets those without a licence inherit from licence files (LICENSE, COPYING, NOTICE ...) above them."""
+    """Scans files and lets those without a licence inherit from licence files (LICENSE, COPYING, NOTICE ...) above them.
+
+    Null paths neither declare nor inherit; null texts have no licence of their own; repeated rows stay; an empty table gives no rows; other columns are not read.
+    """
     scanned = written(scan(files, id_column, path_column, text_column, threshold), "scanned")
     return inherit(scanned, F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(_LICENCE_FILE), F.lit(False)))
