@@ -106,3 +106,9 @@ def test_recall_on_planted_notices(spark):
     has = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if planted.search(r["text"] or "")}
     found = {r["doc_id"] for r in op1_licenses(spark, sf).collect() if r["own_license"]}
     assert len(has) > 5 and len(has & found) >= 0.9 * len(has) and len(found - has) <= 0.1 * len(has)
+
+
+def test_every_header_has_a_key():
+    from weft.llm.licenses import KEYS
+
+    assert all(not KEYS.isdisjoint(_TERM.findall(text.lower().encode())) for _, text in HEADERS)

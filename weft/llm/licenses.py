@@ -1,6 +1,6 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Every line of a text, and every run of up to ``WRAP`` lines around one that names a licence, is compared with the header templates; the whole text of a file that is
+Every line of a text, and every run of up to ``WRAP`` lines around one with a word of ``KEYS``, is compared with the header templates; the whole text of a file that is
 named like a licence file, or of any file if that is asked for, with all templates, whole licences among them. Terms that templates lack count in a text's norm at the
 highest weight, so prose around a few matching words keeps the cosine low. Texts without any of the templates' strong terms are passed over: the other
 terms alone can't reach the threshold with any template, so no match is lost.
@@ -55,6 +55,9 @@ FILES = [(name, (resources.files(__package__) / "license_texts" / f"{name}.txt")
 #: Lines that a wrapped notice takes at most.
 WRAP = 4
 
+# Each header has one of these words. Notices that are wrapped over lines are sought around lines that do.
+KEYS = set(b"license licensed mit apache gnu cc cc0 creative mozilla spdx-license-identifier bsd-style".split())
+
 _TERM = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense|copyright)([._-].*)?$"
 
@@ -125,16 +128,20 @@ def scan(files: DataFrame, id_column: str, path_column: str, text_column: str, t
             return best
         lines = low.split(b"\n")
         seen: set[tuple[int, int]] = set()
+        length = 0
         for k, line in enumerate(lines):
-            if headers.strong.isdisjoint(_TERM.findall(line)):
+            terms = _TERM.findall(line)
+            if headers.strong.isdisjoint(terms):
                 continue
-            for begin in range(max(0, k - WRAP + 1), k + 1):
-                for end in range(k + 1, min(len(lines), begin + WRAP) + 1):
-                    if (begin, end) not in seen:
-                        seen.add((begin, end))
-                        found = headers.best(b" ".join(lines[begin:end]))
-                        if found and (best[1] is None or (found[1], -begin, begin - end) > (best[1], -best[2], -length)):
-                            best, length = (*found, begin), end - begin
+            spans = [(k, k + 1)]
+            if not KEYS.isdisjoint(terms):
+                spans += [(i, j) for i in range(max(0, k - WRAP + 1), k + 1) for j in range(max(k, i + 1) + 1, min(len(lines), i + WRAP) + 1)]
+            for begin, end in spans:
+                if (begin, end) not in seen:
+                    seen.add((begin, end))
+                    found = headers.best(b" ".join(lines[begin:end]))
+                    if found and (best[1] is None or (found[1], -begin, begin - end) > (best[1], -best[2], -length)):
+                        best, length = (*found, begin), end - begin
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
