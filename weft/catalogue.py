@@ -542,11 +542,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import catalogue_client  # which builds on this module
+
+    return QUERIES | catalogue_client.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from . import catalogue_client
+
+    return ORACLE | catalogue_client.ORACLE
 
 
 def catalog() -> Catalog:

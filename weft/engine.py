@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections import ChainMap
 from collections.abc import Mapping
 from typing import Any
@@ -83,6 +85,12 @@ class Engine:
         planner = self.planner(self._bound(query, params), session)
         return {root.alias: planner.root(root) for root in query.roots}
 
+    def explain(self, text: str, params: dict[str, Any] | None = None, session: dict[str, Any] | None = None, mode: str = "formatted") -> dict[str, str]:
+        """The plan of each root of a query, or of each snapshot of a mutation, as text; nothing is run."""
+        query = self._only(text, ("query", "insert", "update", "delete"))
+        frames = self.query(text, params, session) if query.kind == "query" else self.mutate(text, params, session).tables
+        return {name: _plan(df, mode) for name, df in frames.items()}
+
     def mutate(self, text: str, params: dict[str, Any] | None = None, session: dict[str, Any] | None = None) -> Mutation:
         """The mutation's results; :meth:`apply` makes its snapshots the engine's tables."""
         query = self._only(text, ("insert", "update", "delete"))
@@ -92,6 +100,13 @@ class Engine:
         self.tables.update(mutation.tables)
 
 
+def _plan(df: DataFrame, mode: str) -> str:
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain(mode)
+    return text.getvalue()
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON texts, nulls included."""
     return df.select(F.to_json(F.struct(*(df[f"`{c}`"] for c in df.columns)), {"ignoreNullFields": "false"}).alias("json"))
