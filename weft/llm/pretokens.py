@@ -2,7 +2,8 @@
 
 The pattern of these vocabularies never lets a match run past a space that stands between
 two other characters, nor across a line feed. Text is therefore cut in front of every space and on both sides
-of every line feed, and a worker encodes each distinct piece once. Runs of three white-space characters, or of
+of every line feed, and a worker encodes each distinct piece once. A piece that is a word is one match, and one that is a word and
+then ASCII signs is two; these aren't cut by the pattern. Runs of three white-space characters, or of
 two at the end of the text, may be matched as one; such texts are cut by the pattern itself.
 """
 
@@ -26,6 +27,16 @@ def pieces(text: str) -> list[str] | None:
     return text.replace(" ", f"{mark} ").replace("\n", f"{mark}\n{mark}").split(mark)
 
 
+#: ASCII signs that are neither letters, digits nor white space.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def is_word(piece: str) -> bool:
+    """Whether a piece is letters, with or without a space in front; letters beyond U+024F are left to the pattern, as what counts as one differs by Unicode's version."""
+    word = piece[1:] if piece[:1] == " " else piece
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class _Known(dict):
     """What pieces encode to; a missing one is taken from the generation before, or encoded on the spot."""
 
@@ -55,7 +66,14 @@ class Encoder:
     def __init__(self, findall: Callable[[str], list[str]], encode_one: Callable[[str], bytes], most: int = 150_000):
         self.findall, self.most = findall, most
         self.of_pretoken = _Known(encode_one)
-        self.of_piece = _Known(lambda p: b"".join(map(self.of_pretoken.__getitem__, findall(p))))
+        self.of_piece = _Known(self._piece)
+        self.encode_one = encode_one
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece.rstrip(_SIGNS)
+        if is_word(word):
+            return self.encode_one(piece) if len(word) == len(piece) else self.of_piece[word] + self.of_pretoken[piece[len(word) :]]
+        return b"".join(map(self.of_pretoken.__getitem__, self.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""

@@ -60,7 +60,9 @@ class TokenizerEncoder:
             code = "H" if self.kind == "<u2" else "I"
 
             def encode_one(pretoken: str) -> bytes:
-                found = tokenize(pretoken.encode().decode("latin-1").translate(character))
+                if not pretoken.isascii():
+                    pretoken = pretoken.encode().decode("latin-1")
+                found = tokenize(pretoken.translate(character))
                 return struct.pack(f"<{len(found)}{code}", *[t.id for t in found])
 
             self.encoder = Encoder(regex.compile(pattern).findall, encode_one, most=300_000)
