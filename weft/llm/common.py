@@ -41,6 +41,21 @@ def map_batches(
     return df.mapInArrow(f, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in larger ones, of about ``size`` bytes but for a batch that has more; without empty ones."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if held and total + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

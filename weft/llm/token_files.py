@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import map_batches, open_store
+from .common import gathered, map_batches, open_store
 from .pretokens import Encoder
 
 NO_ID = -(1 << 63)
@@ -49,29 +50,46 @@ class TokenizerEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added_bytes = re.compile(self.added.pattern.encode()) if added else None
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.encoder = None
         if spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]:
-            character = dict(enumerate(byte_characters()))
+            character = byte_characters()
             tokenize = self.tokenizer.model.tokenize
 
-            code = "H" if self.kind == "<u2" else "I"
+            pack = [struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(65)]
 
-            def encode_one(pretoken: str) -> bytes:
-                if not pretoken.isascii():
-                    pretoken = pretoken.encode().decode("latin-1")
-                found = tokenize(pretoken.translate(character))
-                return struct.pack(f"<{len(found)}{code}", *[t.id for t in found])
+            def encode_bytes(pretoken: bytes) -> bytes:
+                # ASCII letters stand for themselves
+                if pretoken[1:].isalpha():
+                    found = tokenize(character[pretoken[0]] + pretoken[1:].decode("ascii"))
+                else:
+                    found = tokenize("".join([character[b] for b in pretoken]))
+                ids = [t.id for t in found]
+                return pack[len(ids)](*ids) if len(ids) < 65 else np.array(ids, self.kind).tobytes()
 
-            self.encoder = Encoder(regex.compile(pattern).findall, encode_one, most=300_000)
+            self.encoder = Encoder(regex.compile(pattern).findall, lambda p: encode_bytes(p.encode()), most=300_000, encode_bytes=encode_bytes)
 
     def encode(self, text: str) -> bytes:
         if self.encoder and not (self.added and self.added.search(text)):
             return self.encoder.encode(text)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def encode_many(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column; null is empty."""
+        if not self.encoder:
+            return [self.encode(t or "") for t in column.to_pylist()]
+        whole = {}
+        if self.added and any(self.added_bytes.search(b) for b in column.buffers()[2:] if b is not None):
+            whole = {i: self.encode(t) for i, t in enumerate(column.to_pylist()) if t and self.added.search(t)}
+            column = pc.if_else(pa.array([i in whole for i in range(len(column))]), "", column) if whole else column
+        made = self.encoder.encode_many(column)
+        for i, ids in whole.items():
+            made[i] = ids
+        return made
+
 
 _encoders: dict[tuple[str, str], TokenizerEncoder] = {}
 
@@ -97,15 +115,13 @@ def write_token_files(
         fs, root = open_store(folder)
         name = f"part-{partition:06d}-{uuid.uuid4().hex}"
         out = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             if out is None:
                 own = encoder(tokenizer_file, pattern)
                 end = np.array([end_id], own.kind).tobytes()
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.ids")
-            made = [own.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            made = [ids + end for ids in own.encode_many(batch.column(1))]
             out.write(b"".join(made))
             sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // len(end))
             ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
