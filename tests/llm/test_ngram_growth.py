@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from weft.llm.ngram import ADDED, PRIOR, counts, encoder, score, tokens
+from weft.llm.ngram import ADDED, PRIOR, _ordered, counts, encoder, score, tokens
 from weft.llm.query_ngram import RANK_FILE
 
 PATH = P.path(RANK_FILE)
@@ -95,3 +95,12 @@ def test_leaving_a_documents_own_counts_out(spark):
             assert out[i]["target_loss"] == pytest.approx(loss(text, good - {i})) and out[i]["background_loss"] == pytest.approx(loss(text, set(ids) - {i}))
         else:
             assert out[i]["difference"] is None
+
+
+@pytest.mark.parametrize("bits", [16, 32, 60])
+def test_values_are_ordered_with_their_places(bits):
+    r = np.random.default_rng(bits)
+    for n in (0, 1, 5, 3000):
+        values = r.integers(0, 1 << bits, max(1, n // 3))[r.integers(0, max(1, n // 3), n)]
+        keys, order = _ordered(values, bits)
+        assert order.tolist() == np.argsort(values, kind="stable").tolist() and keys.tolist() == sorted(values.tolist())

@@ -13,6 +13,7 @@ chunk, and the driver gathers two totals.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import Side, map_batches, with_places, written
+from .common import Side, gathered, map_batches, with_places, written
 from .pretokens import Encoder
 
 #: Weight of the next shorter model in an n-gram's context, in tokens, and the constant added to each unigram.
@@ -43,8 +44,13 @@ def encoder(rank_file: str, pattern: str, size: int | None = None) -> Encoder:
 
         ranks = {t: r for t, r in read_ranks(rank_file).items() if size is None or r < size}
         own = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        single = own._encode_single_piece if hasattr(own, "_encode_single_piece") else own.encode_ordinary
-        _encoders[key] = Encoder(regex.compile(pattern).findall, lambda p: np.array(single(p), "<u4").tobytes())
+        single = own._encode_single_piece if hasattr(own, "_encode_single_piece") else lambda p: own.encode_ordinary(p.decode())
+
+        def encode_bytes(pretoken: bytes) -> bytes:
+            ids = single(pretoken)
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        _encoders[key] = Encoder(regex.compile(pattern).findall, lambda p: encode_bytes(p.encode()), most=300_000, encode_bytes=encode_bytes)
     return _encoders[key]
 
 
@@ -78,13 +84,14 @@ def tokens(docs: DataFrame, rank_file: str, pattern: str, size: int | None = Non
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         if marks is not None:
-            parts = ((batch, pa.array(lo < hi)) for batch, _, lo, hi in marks.beside(batches))
+            parts = ((batch, pa.array(lo < hi)) for batch, _, lo, hi in marks.beside(gathered(batches, 5 << 20)))
         else:
-            parts = ((batch, batch.column(4)) for batch in batches)
+            parts = ((batch, batch.column(4)) for batch in gathered(batches, 5 << 20))
         for batch, marked in parts:
             own = own or encoder(rank_file, pattern, size)
-            for file, at, doc_id, text, mark in zip(*(c.to_pylist() for c in (*batch.columns[:4], marked)), strict=True):
-                held.append((file, at, doc_id, mark, ids := own.encode(text or "")))
+            made = own.encode_many(batch.column(3))
+            for file, at, doc_id, mark, ids in zip(*(c.to_pylist() for c in (*batch.columns[:3], marked)), made, strict=True):
+                held.append((file, at, doc_id, mark, ids))
                 total += len(ids) // 4
                 if total >= CHUNK:
                     yield chunk()
@@ -277,30 +284,51 @@ def _summed_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
     return map_batches(blocks.repartition(buckets, "bucket"), run, _SUMS)
 
 
+def _ordered(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of at most ``bits`` bits, sorted, and the places that they came from, which rise among equal values."""
+    place = len(values).bit_length()
+    if bits + place > 63:
+        order = np.argsort(values, kind="stable")
+        return values[order], order
+    both = values.astype(np.int64) << place  # sorting numbers is several times as fast as sorting places by them
+    both |= np.arange(len(values))
+    both.sort()
+    return both >> place, both & ((1 << place) - 1)
+
+
 def _chunk_losses(own: _Chunk, answers: dict[int, np.ndarray], totals: tuple[int, int], size: int, leave_out: bool) -> list[np.ndarray]:
-    """Summed target and background losses of each document of a chunk; ``answers`` has the sums of the chunk's n-grams in their order by bucket."""
+    """Summed target and background losses of each document of a chunk; ``answers`` has by order the four sums of the chunk's n-grams, in the order of its counts."""
     n = len(own.owner)
     last = (np.cumsum(own.sizes) - 1)[own.owner]  # the last token of each token's document
     tables = own.counts()
-    at, mine = {}, {}
+    at, mine, before, often = {}, {}, {}, {}
     for k, grams in own.grams.items():
-        order = np.argsort(grams, kind="stable")  # a document's places stay together below each key
-        keys, owner = grams[order], own.owner[order]
-        begin = _runs_of(keys)
+        if k == 1:
+            keys, order = _ordered(grams, own.bits)
+        else:
+            # what comes before a token is the shorter n-gram that ends at the token before, but for a document's last one, that nothing follows
+            before[k] = own.shifted(at[k - 1], int(np.searchsorted(tables[k - 1][0], own.context(k - 1))))
+            often[k] = own.shifted(mine[k - 1] - (at[k - 1] == at[k - 1][last]), 1)
+            keys, order = _ordered(before[k].astype(np.int64) << own.bits | own.grams[1], len(tables[k - 1][0]).bit_length() + own.bits)
+        # a document's places stay together below each key
+        edge = np.empty(n, bool)
+        edge[:1] = True
+        np.not_equal(keys[1:], keys[:-1], out=edge[1:])
+        begin = np.flatnonzero(edge)
         at[k], mine[k] = np.empty(n, np.int32), np.empty(n, np.int32)
-        at[k][order] = np.repeat(np.searchsorted(tables[k][0], keys[begin]), np.diff(begin, append=n))
-        begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
-        length = np.diff(begin, append=n)
-        mine[k][order] = np.repeat(length, length)
+        at[k][order] = np.repeat(np.searchsorted(tables[k][0], grams[order[begin]]).astype(np.int32), np.diff(begin, append=n))
+        owner = own.owner[order]
+        edge[1:] |= owner[1:] != owner[:-1]
+        length = np.diff(np.flatnonzero(edge), append=n)
+        mine[k][order] = np.repeat(length.astype(np.int32), length)
     out = []
     for which, total in enumerate(totals):
-        less = (own.marked.astype(np.int64) if which == 0 else 1) if leave_out else 0
-        p = (answers[1][at[1], which] - less * mine[1] + ADDED) / (total - less * own.sizes[own.owner] + ADDED * size)
+        less = (own.marked.astype(np.int32) if which == 0 else 1) if leave_out else 0
+        p = (answers[1][which][at[1]] - less * mine[1] + ADDED) / (total - less * own.sizes[own.owner] + ADDED * size)
         for k in range(2, own.order + 1):
-            # what comes before a token is the shorter n-gram that ends at the token before, but for a document's last one, that nothing follows
-            before = own.shifted(at[k - 1], int(np.searchsorted(tables[k - 1][0], own.context(k - 1))))
-            often = own.shifted(mine[k - 1] - (at[k - 1] == at[k - 1][last]), 1)
-            p = (answers[k][at[k], which] - less * mine[k] + PRIOR * p) / (answers[k - 1][before, 2 + which] - less * often + PRIOR)
+            p *= PRIOR
+            p += answers[k][which][at[k]] - less * mine[k]
+            p /= answers[k - 1][2 + which][before[k]] - less * often[k] + PRIOR
         out.append(np.bincount(own.owner, -np.log(p), len(own.sizes)))
     return out
 
@@ -329,8 +357,9 @@ def score(docs: DataFrame, rank_file: str, pattern: str, size: int | None = None
         for k, (keys, _) in own.counts().items():
             parts = sorted((bucket, n, raw) for at, bucket, n, raw in zip(*columns, strict=True) if at == k)
             by, _ = _in_buckets(keys, own.bits if k > 1 else 0, buckets)
-            out[k] = np.empty((len(keys), 4), np.int64)
-            out[k][by] = np.concatenate([_unpack(raw, "<u8", 4 * n).reshape(4, n).T for _, n, raw in parts])
+            out[k] = np.empty((4, len(keys)), np.int64)
+            for column, values in zip(out[k], np.concatenate([_unpack(raw, "<u8", 4 * n).reshape(4, n) for _, n, raw in parts], axis=1), strict=True):
+                column[by] = values
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
