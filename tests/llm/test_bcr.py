@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.bcr import END, build, repeated_starts
+from weft.llm.bcr import END, _by_symbol, _nth, build, repeated_starts
 
 
 def brute(strings):
@@ -49,3 +49,15 @@ def test_many_equal_strings_span_blocks():
 def test_cap():
     with pytest.raises(ValueError):
         build([b"a"], 256)
+
+
+def test_places_by_symbol_and_how_often_a_symbol_stands_before():
+    r = np.random.default_rng(3)
+    for n, symbols in ((1, 1), (7, 3), (5000, 40), (5000, 256)):
+        column = r.integers(0, symbols, n).astype(np.uint8)
+        order = _by_symbol(column)
+        assert order.tolist() == np.argsort(column, kind="stable").tolist()
+        below = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=symbols))])
+        at = np.sort(r.choice(n, -(-n // 2), replace=False))
+        at = at[np.argsort(column[at], kind="stable")]
+        assert _nth(order, below, column[at], at).tolist() == [int((column[:p] == column[p]).sum()) for p in at.tolist()]

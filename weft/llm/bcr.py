@@ -14,8 +14,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Stands in the transform where a string has no symbol left; never a byte of UTF-8.
 END = 0xFF
@@ -66,70 +69,32 @@ def _range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-_BLOCK = 256
-
-
-class _Counts:
-    """Rank and select over a column of dense symbols, from the counts of each symbol in front of every block."""
-
-    def __init__(self, column: np.ndarray, n_symbols: int):
-        n = len(column)
-        blocks = -(-n // _BLOCK)
-        padded = np.full(blocks * _BLOCK, n_symbols, np.uint8)
-        padded[:n] = column
-        self.rows = padded.reshape(blocks, _BLOCK)
-        width = n_symbols + 1
-        spot = self.rows + np.arange(0, blocks * width, width)[:, None]
-        per = np.bincount(spot.ravel(), minlength=blocks * width).reshape(blocks, width)
-        self.before = np.zeros((blocks + 1, width), np.int64)
-        np.cumsum(per, axis=0, out=self.before[1:])
-        self.total = self.before[-1, :n_symbols]
-
-    def _bits(self, block: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Where a symbol is in a block, as bits of four words, the first place lowest."""
-        return np.packbits(self.rows[block] == symbol[:, None], axis=1, bitorder="little").view("<u8")
-
-    def rank(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """How often the symbol stands before each place."""
-        block, inside = at // _BLOCK, at % _BLOCK
-        width = np.clip(inside[:, None] - np.arange(0, _BLOCK, 64), 0, 64)
-        mask = np.where(width == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (width & 63).astype(np.uint64)) - np.uint64(1))
-        return self.before[block, symbol] + np.bitwise_count(self._bits(block, symbol) & mask).sum(axis=1, dtype=np.int64)
-
-    def select(self, nth: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Where the symbol stands for the nth time, from 0."""
-        lo, hi = np.zeros(len(nth), np.int64), np.full(len(nth), len(self.rows), np.int64)
-        for _ in range(len(self.rows).bit_length()):
-            mid = (lo + hi) >> 1
-            ok = self.before[mid, symbol] <= nth
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
-        left = nth - self.before[lo, symbol]
-        words = self._bits(lo, symbol)
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (upto <= left[:, None]).sum(axis=1)
-        take = np.arange(len(nth))
-        left = left - np.where(word > 0, upto[take, np.maximum(word - 1, 0)], 0)
-        bits, base = words[take, word], np.zeros(len(nth), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            low = bits & np.uint64((1 << half) - 1)
-            count = np.bitwise_count(low).astype(np.int64)
-            up = left >= count
-            left = np.where(up, left - count, left)
-            base += np.where(up, half, 0)
-            bits = np.where(up, bits >> np.uint64(half), low)
-        return lo * _BLOCK + word * 64 + base
-
-
-def _inserted(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """``old`` with ``new`` at the (rising) places ``at`` of the result."""
-    keep = np.ones(len(old) + len(new), bool)
-    keep[at] = False
-    out = np.empty(len(keep), old.dtype)
-    out[keep] = old
-    out[at] = new
+def _by_symbol(column: np.ndarray) -> np.ndarray:
+    """The places of a column of bytes, one symbol after another; a counting sort."""
+    return pc.array_sort_indices(pa.array(column)).to_numpy(zero_copy_only=False).view(np.int64)
+
+
+def _nth(order: np.ndarray, smaller: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often the symbol stands before each place, from the places in the order of their symbols; queries rise by symbol and place."""
+    out = np.empty(len(at), np.int64)
+    edges = [*np.flatnonzero(np.diff(symbol, prepend=symbol[:1] ^ 1)).tolist(), len(at)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        of = int(symbol[a])
+        out[a:b] = np.searchsorted(order[smaller[of] : smaller[of + 1]], at[a:b])
     return out
 
 
+def _inserted(at: np.ndarray, *columns: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each pair of columns the first with the second at the (rising) places ``at`` of the result."""
+    keep = np.ones(len(columns[0][0]) + len(at), bool)
+    keep[at] = False
+    for old, new in columns:
+        out = np.empty(len(keep), old.dtype)
+        out[keep] = old
+        out[at] = new
+        yield out
+
+
 def build(strings: list[bytes], cap: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Transform, common prefixes (with the suffix before, at most ``cap``) and each whole string's place in the order of all suffixes.
 
@@ -150,39 +115,42 @@ def build(strings: list[bytes], cap: int, folder: str | None = None) -> tuple[np
     files = _Files(own)
     try:
         files.write(symbols[ends - 1], np.zeros(n, np.uint8))
+        total = np.bincount(symbols[ends - 1], minlength=none + 1)  # of each symbol in the transform
         place = np.arange(n)  # of each string's last inserted suffix
         live, finished = np.arange(n), np.empty(0, np.int64)
         for done in range(1, int(sizes.max(initial=0)) + 1):
             transform, prefixes = files.read()
             ended, live = live[sizes[live] < done], live[sizes[live] >= done]
             finished = np.concatenate([finished, ended])
-            counts = _Counts(transform, none + 1)
+            # the places of each symbol, one symbol after another
+            order = _by_symbol(transform)
+            below = np.concatenate([[0], np.cumsum(total)])
             came = place[live]
             symbol = transform[came]
-            nth = counts.rank(came, symbol)
-            smaller = np.concatenate([[0], np.cumsum(counts.total)])[symbol]
             # the suffixes longer by a symbol, in order; this one's own and the places with the same symbol before and after
-            by_order = np.argsort(smaller + nth)
-            live, came, symbol, nth, smaller = (x[by_order] for x in (live, came, symbol, nth, smaller))
-            at = n + smaller + nth
+            by_order = np.argsort(symbol.astype(np.int64) * len(transform) + came)
+            live, came, symbol = live[by_order], came[by_order], symbol[by_order]
+            nth = _nth(order, below, symbol, came)
+            at = n + below[symbol] + nth
             shared = np.zeros((2, len(live)), np.uint8)
-            has_back, has_on = nth > 0, nth + 1 < counts.total[symbol]
+            has_back, has_on = nth > 0, nth + 1 < total[symbol]
             # neighbours that are new themselves have come from known places; the others are looked up
             beside = np.flatnonzero((np.diff(at) == 1) & (np.diff(symbol.astype(np.int16)) == 0))
             from_back, from_on = np.full(len(live), -1), np.full(len(live), -1)
             from_back[beside + 1], from_on[beside] = came[beside], came[beside + 1]
             seek_back, seek_on = np.flatnonzero(has_back & (from_back < 0)), np.flatnonzero(has_on & (from_on < 0))
-            near = counts.select(np.concatenate([nth[seek_back] - 1, nth[seek_on] + 1]), np.concatenate([symbol[seek_back], symbol[seek_on]]))
-            from_back[seek_back], from_on[seek_on] = near[: len(seek_back)], near[len(seek_back) :]
+            from_back[seek_back] = order[below[symbol[seek_back]] + nth[seek_back] - 1]
+            from_on[seek_on] = order[below[symbol[seek_on]] + nth[seek_on] + 1]
             back, on = np.flatnonzero(has_back), np.flatnonzero(has_on)
             lo = np.concatenate([from_back[back], came[on]])
             hi = np.concatenate([came[back], from_on[on]])
             least = np.minimum(_range_minima(prefixes, lo + 1, hi), cap - 1) + 1
             shared[0, back], shared[1, on] = least[: len(back)], least[len(back) :]
             coming = np.where(sizes[live] > done, symbols[np.maximum(ends[live] - done - 1, 0)], none).astype(np.uint8)
+            total += np.bincount(coming, minlength=none + 1)
             place[finished] += np.searchsorted(at - np.arange(len(at)), place[finished], "right")
             place[live] = at
-            transform, prefixes = _inserted(transform, at, coming), _inserted(prefixes, at, shared[0])
+            transform, prefixes = _inserted(at, (transform, coming), (prefixes, shared[0]))
             # the suffix after a new one now has it before itself
             inside = at + 1 < len(prefixes)
             prefixes[at[inside] + 1] = shared[1, inside]
@@ -204,7 +172,7 @@ def repeated_starts(strings: list[bytes], starts: np.ndarray, length: int, folde
     hit |= far
     hit[:-1] |= far[1:]
     # from each whole string's place down its suffixes: the suffix without the first symbol stands where that symbol came from
-    order = np.argsort(transform, kind="stable")
+    order = _by_symbol(transform)
     order = order[: len(order) - int(np.count_nonzero(transform == END))]
     out = np.zeros((n, int(starts.max(initial=0))), bool)
     at = place.copy()
