@@ -85,6 +85,12 @@ class Engine:
         planner = self.planner(self._bound(query, params), session)
         return {root.alias: planner.root(root) for root in query.roots}
 
+    def unnested(self, text: str, params: dict[str, Any] | None = None, session: dict[str, Any] | None = None) -> dict[str, DataFrame]:
+        """One DataFrame per root selection with a row for each row at the end of its chain of links, for results whose nested rows would be too large; see :meth:`Planner.unnested`."""
+        query = self._only(text, ("query",))
+        planner = self.planner(self._bound(query, params), session)
+        return {root.alias: planner.unnested(root) for root in query.roots}
+
     def explain(self, text: str, params: dict[str, Any] | None = None, session: dict[str, Any] | None = None, mode: str = "formatted") -> dict[str, str]:
         """The plan of each root of a query, or of each snapshot of a mutation, as text; nothing is run."""
         query = self._only(text, ("query", "insert", "update", "delete"))

@@ -49,7 +49,9 @@ def _by_fields(n: int):
 
 def _attached(parent: DataFrame, parent_keys: list[str], child: DataFrame, child_keys: list[str], sortable: Column, name: str, compare=None) -> DataFrame:
     keys = [f"_k{i}" for i in range(len(child_keys))]
-    grouped = child.groupBy(*(F.col(c).alias(k) for c, k in zip(child_keys, keys, strict=True))).agg(F.array_sort(F.collect_list(sortable), *[compare] * (compare is not None)).alias("_many"))
+    listed = F.collect_list(sortable)
+    ordered = F.sort_array(listed) if compare is None else F.array_sort(listed, compare)  # array_sort evaluates an expression for each comparison
+    grouped = child.groupBy(*(F.col(c).alias(k) for c, k in zip(child_keys, keys, strict=True))).agg(ordered.alias("_many"))
     grouped = grouped.select(*keys, F.transform("_many", lambda x: x["v"]).alias("_many"))
     joined = parent.join(grouped, keys_equal(parent, parent_keys, grouped, keys), "left")
     return joined.select(*(parent[f"`{c}`"] for c in parent.columns), F.coalesce(F.col("_many"), F.array()).alias(name))
@@ -63,6 +65,11 @@ def attach_one(parent: DataFrame, parent_keys: list[str], child: DataFrame, chil
     return joined.select(*(parent[f"`{c}`"] for c in parent.columns), F.col("_one").alias(name))
 
 
+def attach_each(parent: DataFrame, parent_keys: list[str], child: DataFrame, child_keys: list[str]) -> DataFrame:
+    """A row with both sides' columns for each child of each parent, but for the keys; parents without children are left out."""
+    return parent.join(child, keys_equal(parent, parent_keys, child, child_keys)).drop(*parent_keys, *child_keys)
+
+
 def mark_exists(parent: DataFrame, parent_keys: list[str], related: DataFrame, related_keys: list[str], name: str) -> DataFrame:
     """Parents with a boolean: whether a related row has their key. Works under ``or`` and ``not`` as well; keys are made distinct, so no row multiplies."""
     keys = [f"_k{i}" for i in range(len(related_keys))]

@@ -8,6 +8,7 @@ apply to the root, before anything is joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import WeftError
 from ..functions.registry import Clock
 from ..lang.ast import And, Const, Exists, Param, Selection
-from ..operators.relations import attach_many, attach_one, mark_exists, restrict
+from ..operators.relations import attach_each, attach_many, attach_one, mark_exists, restrict
 from ..operators.shape import logical_column
 from ..schema import Catalog, Table
 from .predicate import Context, compile_predicate, exists_in
@@ -162,3 +163,36 @@ class Planner:
         if s.sorts and any(c.name in table.links for c in s.children or []):
             rows = rows.orderBy(*self.order(s.sorts))  # joins don't keep order
         return rows.select(*(v.alias(a) for a, v in columns.items()))
+
+    def unnested(self, s: Selection) -> DataFrame:
+        """A root selection with a row for each row at the end of its chain of links: what :meth:`root` gives with each array exploded, and no array is made.
+
+        An array of ``root`` is a struct here. A row without linked rows is left out, as by ``explode``. Two links to many rows side by side would multiply
+        each other and are refused. Arrays below a link to one row stay arrays. Rows are in the order of the root's sorts alone.
+        """
+        table, at, kept = self.catalog.tables[s.name], s, [f for f, _ in s.sorts]
+        out, up, levels = None, [], []  # up: what leads from the level before to this one
+        while True:
+            children = self.selected(table, at)
+            many = [c for c in children if c.name in table.links and not self.catalog.singular(table, table.links[c.name])]
+            if len(many) > 1:
+                raise WeftError("SeveralLinks", f"{table.record.name}: {', '.join(c.alias for c in many)}")
+            link, n = table.links[many[0].name] if many else None, len(levels)
+            down = link.local if link else []
+            rows, columns, _ = self.rows(table, replace(at, children=[c for c in children if c not in many]), at is s, keep={*up, *down})
+            named = {a: f"_v{n}_{i}" for i, a in enumerate(columns)}
+            rows = rows.select(
+                *(v.alias(named[a]) for a, v in columns.items()), *(F.col(f"`{f}`").alias(f"_s{i}") for i, f in enumerate(kept) if at is s),
+                *(F.col(f"`{k}`").alias(f"_up{n}_{i}") for i, k in enumerate(up)), *(F.col(f"`{k}`").alias(f"_down{n}_{i}") for i, k in enumerate(down)),
+            )
+            out = rows if out is None else attach_each(out, [f"_down{n - 1}_{i}" for i in range(len(up))], rows, [f"_up{n}_{i}" for i in range(len(up))])
+            levels.append(([c.alias for c in children], named))
+            if link is None:
+                break
+            table, at, up = self.catalog.table_of(link.record), many[0], link.foreign
+        if kept:
+            out = out.orderBy(*self.order([(f"_s{i}", way) for i, (_, way) in enumerate(s.sorts)]))
+        below: list[Column] = []
+        for aliases, named in reversed(levels):
+            below = [F.col(named[a]).alias(a) if a in named else F.struct(*below).alias(a) for a in aliases]
+        return out.select(*below)
